@@ -17,6 +17,7 @@ def build_session(app: str = "termloom", cpus: int | str = "*", **conf: str) ->
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
         "spark.driver.host": "127.0.0.1",
     }

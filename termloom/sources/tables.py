@@ -37,7 +37,7 @@ def scores_in_force(terms: DataFrame) -> DataFrame:
     rows = terms.where("doc_id is not null and scorer is not null and term is not null").select(
         *key,
         (F.col("score").cast("double") + F.lit(0.0)).alias("score"),
-        F.coalesce(F.unix_micros("extracted_at"), F.lit(-(2**63))).alias("at"),
+        F.coalesce(F.unix_micros(F.col("extracted_at").cast("timestamp")), F.lit(-(2**63))).alias("at"),
     )
     latest = rows.repartition(*key).groupBy(*key, "at").agg(F.max("score").alias("score"))
     return latest.groupBy(*key).agg(F.max_by("score", "at").alias("score"))
