@@ -5,9 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from termloom.llm.distinctive import distinctive_terms, outstanding_terms
+from termloom.llm.heavy_items import frequent_items
+from termloom.llm.rank_walk import rank_terms
 from termloom.llm.top_groups import top_n_per_group
+from termloom.llm.vertical import frequencies, layout_of_texts, layout_of_values, marked
 from termloom.sources.tables import records_in_force, scores_in_force, table
 
 
@@ -24,9 +28,78 @@ def p3_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distinctive_terms(table(spark, sf_dir, "terms")).select("doc_id", "term", "freq", "df", "score")
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frequent_items(table(spark, sf_dir, "terms"), "term").select("term")
+
+
+def p4_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frequent_items(table(spark, sf_dir, "terms"), "term")
+
+
+WORD_LANGS = ["en", "fr", "de", "es", "ru"]
+
+
+def _word_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    corpus = table(spark, sf_dir, "processed_corpus")
+    texts = records_in_force(corpus, "lang", "text").where(F.col("lang").isin(WORD_LANGS))
+    total = records_in_force(corpus, "lang").where(F.col("lang").isin(WORD_LANGS)).agg(F.count(F.lit(1)).alias("n_records"))
+    return marked(frequencies(layout_of_texts(texts)), total).select(F.lit("text").alias("field_name"), "item", "occurrences", "records", "mark")
+
+
+def _term_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "terms").where("doc_id is not null and term is not null").select(F.col("doc_id").alias("record"), F.col("term").alias("item"))
+    total = rows.agg(F.count_distinct("record").alias("n_records"))
+    return marked(frequencies(layout_of_values(rows)), total).select(F.lit("term").alias("field_name"), "item", "occurrences", "records", "mark")
+
+
+def p6_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _word_marks(spark, sf_dir).unionByName(_term_marks(spark, sf_dir))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p6_frequencies(spark, sf_dir).where(F.col("mark").isNotNull()).select("field_name", "item", "mark")
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = table(spark, sf_dir, "processed_corpus").select("doc_id").where(F.col("doc_id").isNotNull()).distinct()
+    scores = scores_in_force(table(spark, sf_dir, "terms")).join(records, "doc_id", "left_semi")
+    return rank_terms(scores).where("winner and record_scorers >= 3 and record_terms >= 2").select("doc_id", "term")
+
+
+def p7_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_terms(scores_in_force(table(spark, sf_dir, "terms"))).where("record_scorers >= 2").select("doc_id", "term", "place")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p3_found": p3_found, "p3_terms": p3_terms}
+    return {
+        "p2_found": p2_found,
+        "p3_found": p3_found,
+        "p3_terms": p3_terms,
+        "p4_found": p4_found,
+        "p4_counts": p4_counts,
+        "p6_found": p6_found,
+        "p6_frequencies": p6_frequencies,
+        "p7_found": p7_found,
+        "p7_order": p7_order,
+    }
+
 
+RECORDS_IN_FORCE = """
+    select doc_id, lang, text from processed_corpus where doc_id is not null
+    qualify row_number() over (partition by doc_id order by revised_at desc nulls last) = 1
+"""
+
+FREQUENCIES = f"""
+    with forced as ({RECORDS_IN_FORCE}),
+    texts as (select doc_id, text from forced where lang in ('en', 'fr', 'de', 'es', 'ru')),
+    words as (select doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) as item from texts),
+    vals as (select doc_id, term as item from terms where doc_id is not null and term is not null),
+    counts as (
+        select 'text' as field_name, item, count(*) as occurrences, count(distinct doc_id) as records, (select count(*) from texts) as n from words group by item
+        union all
+        select 'term', item, count(*), count(distinct doc_id), (select count(distinct doc_id) from vals) from vals group by item),
+    marks as (select field_name, item, occurrences, records, case when records <= 1 then 'rare' when records > 0.42 * n then 'common' end as mark from counts)
+"""
 
 SCORES_IN_FORCE = """
     select doc_id, scorer, term, score from terms
@@ -50,4 +123,21 @@ def oracle_sql() -> dict[str, str]:
             r as (select *, row_number() over (partition by doc_id order by w desc) as r,
                          lead(w) over (partition by doc_id order by w desc) as next_w from w)
             select doc_id, term from r where r = 1 and k > 1 and w > 0 and w >= 2.03 * next_w""",
+        "p4_found": """
+            select term from terms where term is not null group by term
+            having count(*) >= 0.005 * (select count(term) from terms)""",
+        "p4_counts": """
+            select term, count(*) as n_rows, count(*) / (select count(term) from terms) as share from terms where term is not null
+            group by term having count(*) >= 0.005 * (select count(term) from terms)""",
+        "p6_found": FREQUENCIES + " select field_name, item, mark from marks where mark is not null",
+        "p6_frequencies": FREQUENCIES + " select field_name, item, occurrences, records, mark from marks",
+        "p7_found": f"""
+            with forced as ({SCORES_IN_FORCE}),
+            s as (select doc_id, scorer, term, score from forced where score is not null and not isnan(score)
+                  and doc_id in (select doc_id from processed_corpus)),
+            r as (select doc_id, count(distinct term) as k from s group by doc_id having count(distinct scorer) >= 3 and count(distinct term) >= 2),
+            pairs as (select a.doc_id, a.term, b.term as other, sum(case when a.score > b.score then 1 when a.score < b.score then -1 else 0 end) as lead
+                      from s a join s b on a.doc_id = b.doc_id and a.scorer = b.scorer and a.term <> b.term group by all),
+            won as (select doc_id, term, count(*) as n from pairs where lead > 0 group by all)
+            select doc_id, term from won join r using (doc_id) where n = k - 1""",
     }
