@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from termloom.llm.distinctive import distinctive_terms, outstanding_terms
 from termloom.llm.heavy_items import frequent_items
 from termloom.llm.rank_walk import rank_terms
+from termloom.llm.sentences import sentence_units
 from termloom.llm.top_groups import top_n_per_group
 from termloom.llm.vertical import frequencies, layout_of_texts, layout_of_values, marked
 from termloom.sources.tables import records_in_force, scores_in_force, table
@@ -36,6 +37,10 @@ def p4_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frequent_items(table(spark, sf_dir, "terms"), "term")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_units(records_in_force(table(spark, sf_dir, "processed_corpus"), "text")).select("doc_id", "start_pos", "end_pos")
+
+
 WORD_LANGS = ["en", "fr", "de", "es", "ru"]
 
 
@@ -77,6 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p3_terms": p3_terms,
         "p4_found": p4_found,
         "p4_counts": p4_counts,
+        "p5_found": p5_found,
         "p6_found": p6_found,
         "p6_frequencies": p6_frequencies,
         "p7_found": p7_found,
