@@ -9,13 +9,25 @@ from pyspark.sql import functions as F
 
 from termloom.llm.distinctive import distinctive_terms, outstanding_terms
 from termloom.llm.heavy_items import frequent_items
+from termloom.llm.mixing import mix_sources
+from termloom.llm.pieces import split_oversized
 from termloom.llm.rank_walk import rank_terms
+from termloom.llm.repetition import repetition_shares
 from termloom.llm.sentences import sentence_units
+from termloom.llm.tokenizer import encode_texts
 from termloom.llm.top_groups import top_n_per_group
 from termloom.llm.vertical import frequencies, layout_of_texts, layout_of_values, marked
 from termloom.sources.tables import records_in_force, scores_in_force, table
 
 
+def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_oversized(records_in_force(table(spark, sf_dir, "processed_corpus"), "text"), 3000, 200)
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p1_pieces(spark, sf_dir).where("piece_no = 1").select("doc_id")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = scores_in_force(table(spark, sf_dir, "terms"))
     return top_n_per_group(scores, ["scorer", "doc_id"], "term", "score", 5).select("doc_id", "scorer", "term")
@@ -75,8 +87,30 @@ def p7_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank_terms(scores_in_force(table(spark, sf_dir, "terms"))).where("record_scorers >= 2").select("doc_id", "term", "place")
 
 
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_texts(table(spark, sf_dir, "documents"))
+
+
+def p9_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition_shares(table(spark, sf_dir, "documents")).where("repeated_chars >= 0.3 * n_chars and n_chars > 0").select("doc_id")
+
+
+def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition_shares(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p1_found": p1_found,
+        "p1_pieces": p1_pieces,
         "p2_found": p2_found,
         "p3_found": p3_found,
         "p3_terms": p3_terms,
@@ -87,6 +121,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p6_frequencies": p6_frequencies,
         "p7_found": p7_found,
         "p7_order": p7_order,
+        "p8_ids": p8_ids,
+        "p9_selection": p9_selection,
+        "p9_shares": p9_shares,
+        "p10_found": p10_found,
+        "p10_shares": p10_shares,
     }
 
 
@@ -116,6 +155,7 @@ SCORES_IN_FORCE = """
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_found": f"with forced as ({RECORDS_IN_FORCE}) select doc_id from forced where length(text) > 3000",
         "p2_found": f"""
             with forced as ({SCORES_IN_FORCE})
             select doc_id, scorer, term from forced where score is not null and not isnan(score)
