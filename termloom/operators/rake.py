@@ -15,7 +15,7 @@ from termloom.functions.text import once, split_white, strip
 from termloom.operators.stats import above
 
 BREAK, JOIN, CUT = "\u0001", "\u0002", "\u0003"
-SPECIAL = re.compile(r"[^\w\s]")
+SPECIAL = re.compile(r"[!-/:-@\[-`{-~]")
 
 
 def delimiter_pattern(delimiters: list[str | None]) -> str:
