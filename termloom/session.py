@@ -39,7 +39,8 @@ def shared_folder(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a written table that nothing reads any more."""
     try:
         jvm = spark.sparkContext._jvm
         where = jvm.org.apache.hadoop.fs.Path(path)
@@ -56,7 +57,7 @@ def written_path(df: DataFrame, name: str, **options: str) -> str:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
-    atexit.register(_remove, spark, path)
+    atexit.register(discard, spark, path)
     return path
 
 
