@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 
 from termloom.functions.arrow_groups import key_codes, runs, whole_groups
 from termloom.functions.running import running_sum
-from termloom.session import written
+from termloom.session import discard, written, written_path
 
-DAMPING, STEPS = 0.85, 40
+DAMPING, STEPS = 0.85, 20
 #: Decimals to which stationary probabilities are compared; equal ones are ordered by term.
 DIGITS = 12
 #: Score rows of a record that one task may walk.
@@ -56,18 +56,24 @@ class Walk:
         self.scorers = np.bincount(self.item, minlength=len(self.item_doc))
 
     def stationary(self, damping: float = DAMPING, steps: int = STEPS) -> np.ndarray:
-        """The probability of each item after power iteration."""
+        """The probability of each item: power iteration, with the slowest part of the error extrapolated away.
+
+        What is left of the error falls by about the damping in each step; (p - damping * before) / (1 -
+        damping) is free of that part and still sums to 1.
+        """
         of = np.repeat(np.arange(len(self.doc_start)), self.doc_size)
         size = self.doc_size[of].astype(float)
         p = 1.0 / size
         top = self.higher == 0
         share = 1.0 / np.where(top, 1, self.higher)
+        before = p
         for _ in range(steps):
+            before = p
             leaving = (p / self.scorers)[self.item]
             prefix = np.concatenate(([0.0], np.cumsum(np.where(top, 0.0, leaving * share))))
             arriving = prefix[self.segment_end] - prefix[self.after_tie] + np.where(top, leaving, 0.0)
             p = damping * np.bincount(self.item, weights=arriving, minlength=len(p)) + (1 - damping) / size
-        return p
+        return (p - damping * before) / (1 - damping)
 
     def winners(self, order: np.ndarray) -> np.ndarray:
         """The items that have the higher score under more scorers than the lower one against each other item of their record.
@@ -150,31 +156,50 @@ def _local(rows: DataFrame) -> DataFrame:
 
 
 def _distributed(rows: DataFrame, damping: float = DAMPING, steps: int = STEPS) -> DataFrame:
-    """The same walk for large records, on tables: score values are ranked in range-partitioned blocks."""
+    """The same walk for large records, on tables.
+
+    A record's items carry, per scorer, the block and place of their score and the number of rows
+    above it; blocks are ranges of scores. A step shuffles twice: to blocks, where prefix sums run,
+    and back to items. Across blocks only their sums are gathered.
+    """
+    spark = rows.sparkSession
     key = ["doc_id", "scorer"]
     rows = written(rows, "walk-rows")
     values = rows.groupBy(*key, "score").agg(F.count(F.lit(1)).alias("size"))
     blocked = written(values.repartitionByRange(*key, F.col("score").desc()).withColumn("block", F.spark_partition_id()), "walk-values")
     ranked = running_sum(blocked, key, "block", [F.col("score").desc()], "size", "higher")
-    ranked = written(ranked.withColumn("block", -F.col("block")), "walk-ranks")  # sums now run from low to high scores
-    items = rows.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("scorers"))
+    ranked = ranked.withColumn("r", F.row_number().over(Window.partitionBy(*key, "block").orderBy("score")))
+    # a row for each scorer of a large record, so one window over all of them is small
+    segments = rows.select(*key).distinct().withColumn("seg", F.row_number().over(Window.orderBy(*key)))
+    entries = rows.join(ranked.select(*key, "score", "block", "higher", "r"), [*key, "score"]).join(segments, key)
+    items = entries.groupBy("doc_id", "term").agg(F.collect_list(F.struct("seg", "block", "r", "higher")).alias("e"))
     sizes = items.groupBy("doc_id").agg(F.count(F.lit(1)).alias("record_terms"))
-    widths = rows.select("doc_id", "scorer").distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("record_scorers"))
-    items = written(items.join(sizes, "doc_id").join(widths, "doc_id"), "walk-items")
-    p = items.select("doc_id", "term", (1.0 / F.col("record_terms")).alias("p"))
+    widths = segments.groupBy("doc_id").agg(F.count(F.lit(1)).alias("record_scorers"))
+    items = written(items.join(sizes, "doc_id").join(widths, "doc_id").withColumn("item", F.monotonically_increasing_id()), "walk-items")
+    start = F.lit(1.0) / F.col("record_terms")
+    state = items.select("item", F.col("record_terms").alias("n"), start.alias("p"), start.alias("before"), "e")
+    held: list[str] = []
     for _ in range(steps):
-        moving = rows.join(items.join(p, ["doc_id", "term"]), ["doc_id", "term"]).select(*key, "score", "term", (F.col("p") / F.col("scorers")).alias("leaving"))
-        sums = moving.groupBy(*key, "score").agg(F.sum("leaving").alias("leaving"))
-        share = F.when(F.col("higher") > 0, F.col("leaving") / F.col("higher")).otherwise(0.0)
-        flows = running_sum(ranked.join(sums, [*key, "score"]).select(*key, "score", "higher", "block", share.alias("share")), key, "block", [F.col("score").asc()], "share", "below")
-        kept = F.when(F.col("higher") == 0, F.col("leaving")).otherwise(0.0)
-        arrived = moving.join(flows.select(*key, "score", "higher", "below"), [*key, "score"]).groupBy("doc_id", "term").agg(F.sum(F.col("below") + kept).alias("arriving"))
-        p = written(items.join(arrived, ["doc_id", "term"]).select("doc_id", "term", (damping * F.col("arriving") + (1 - damping) / F.col("record_terms")).alias("p")), "walk-p")
-    result = items.join(p, ["doc_id", "term"]).withColumn("weight", F.col("p"))
-    ordered = result.withColumn("key", F.round("weight", DIGITS)).repartitionByRange("doc_id", F.col("key").desc(), "term").withColumn("block", F.spark_partition_id())
-    placed = running_sum(written(ordered.withColumn("one", F.lit(1)), "walk-order"), ["doc_id"], "block", [F.col("key").desc(), F.col("term")], "one", "before")
+        out = state.select("item", "n", "p", F.size("e").alias("m"), F.inline("e"))
+        out = out.withColumn("leaving", F.col("p") / F.col("m")).withColumn("share", F.when(F.col("higher") > 0, F.col("leaving") / F.col("higher")).otherwise(0.0))
+        lower = Window.partitionBy("seg", "block").orderBy("r").rangeBetween(Window.unboundedPreceding, -1)
+        later = Window.partitionBy("seg").orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, -1)
+        sums = out.groupBy("seg", "block").agg(F.sum("share").alias("s")).select("seg", "block", F.coalesce(F.sum("s").over(later), F.lit(0.0)).alias("offset"))
+        inside = out.withColumn("below", F.coalesce(F.sum("share").over(lower), F.lit(0.0)))
+        arriving = F.col("below") + F.col("offset") + F.when(F.col("higher") == 0, F.col("leaving")).otherwise(0.0)
+        back = inside.join(sums, ["seg", "block"]).groupBy("item").agg(F.sum(arriving).alias("a"), F.first("n").alias("n"), F.first("p").alias("before"), F.collect_list(F.struct("seg", "block", "r", "higher")).alias("e"))
+        state = back.select("item", "n", (damping * F.col("a") + (1 - damping) / F.col("n")).alias("p"), "before", "e")
+        held.append(written_path(state, "walk-state"))
+        state = spark.read.schema(state.schema).parquet(held[-1])
+        if len(held) > 1:
+            discard(spark, held[-2])
+    weight = (F.col("p") - damping * F.col("before")) / (1 - damping)
+    result = items.drop("e").join(state.select("item", weight.alias("weight")), "item")
+    scorers = rows.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("scorers"))
+    ordered = result.join(scorers, ["doc_id", "term"]).withColumn("key", F.round("weight", DIGITS)).repartitionByRange("doc_id", F.col("key").desc(), "term").withColumn("block", F.spark_partition_id())
+    placed = running_sum(written(ordered.withColumn("one", F.lit(1)), "walk-order"), ["doc_id"], "block", [F.col("key").desc(), F.col("term")], "one", "above")
     champions = F.broadcast(_champions(rows))  # at most one row for each record of more than LOCAL rows
-    return placed.join(champions, ["doc_id", "term"], "left").select("doc_id", "term", "weight", (F.col("before") + 1).cast("long").alias("place"), F.col("scorers").cast("long").alias("scorers"), F.col("record_scorers").cast("long").alias("record_scorers"), F.col("record_terms").cast("long").alias("record_terms"), F.coalesce("winner", F.lit(False)).alias("winner"))
+    return placed.join(champions, ["doc_id", "term"], "left").select("doc_id", "term", "weight", (F.col("above") + 1).cast("long").alias("place"), F.col("scorers").cast("long").alias("scorers"), F.col("record_scorers").cast("long").alias("record_scorers"), F.col("record_terms").cast("long").alias("record_terms"), F.coalesce("winner", F.lit(False)).alias("winner"))
 
 
 def _champions(rows: DataFrame) -> DataFrame:
