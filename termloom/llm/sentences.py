@@ -4,8 +4,8 @@ A first pass over all records counts, for short words that stand before a full s
 them (a small letter or comma, a number, a capitalised word and which), and for capitalised words
 how often they begin a sentence beyond doubt and how often they stand inside one. From these
 counts comes the *book* of the corpus: abbreviations that go on (what follows is mostly a small
-letter, comma or number), titles (what follows is always capitalised but never a usual sentence
-beginning), and the usual beginnings. The second pass cuts each document: a doubtful full stop is
+letter, comma or number), titles (what follows is always capitalised, mostly a name, and never a
+usual sentence beginning), and the usual beginnings. The second pass cuts each document: a doubtful full stop is
 settled by unambiguous occurrences of the same word, or of the word after it, elsewhere in the
 document, and by the book where the document says nothing. Terminators, quotes and spaces follow
 rules of the script: see ``units``.
@@ -440,14 +440,15 @@ def book_of(counts: DataFrame, least: int = 8) -> Book:
     """The book from ``evidence``: at most BOOK_ENTRIES words a list, the most frequent first."""
     words = counts.where("kind in ('start', 'inside')").groupBy("word").agg(F.sum(F.when(F.col("kind") == "start", F.col("n")).otherwise(0)).alias("start"), F.sum(F.when(F.col("kind") == "inside", F.col("n")).otherwise(0)).alias("inside"))
     starters = words.where("start >= 3 and inside <= 0.05 * (start + inside)")
-    pairs = counts.where("kind = 'pair'").join(starters.select(F.col("word").alias("other"), F.lit(1).alias("usual")), "other", "left")
-    after = pairs.groupBy("word").agg(F.sum("n").alias("capital"), F.sum(F.when(F.col("usual") == 1, F.col("n")).otherwise(0)).alias("usual"))
+    kind = F.when((F.col("start") >= 3) & (F.col("inside") <= 0.05 * (F.col("start") + F.col("inside"))), "usual").when(F.col("inside") > 0.05 * (F.col("start") + F.col("inside")), "name")
+    pairs = counts.where("kind = 'pair'").select("word", "other", "n").join(words.select(F.col("word").alias("other"), kind.alias("is")), "other", "left")
+    after = pairs.groupBy("word").agg(F.sum("n").alias("capital"), *(F.sum(F.when(F.col("is") == k, F.col("n")).otherwise(0)).alias(k) for k in ("usual", "name")))
     stops = counts.where("kind = 'stop'").groupBy("word").agg(F.sum(F.when(F.col("other").isin("small", "number"), F.col("n")).otherwise(0)).alias("inner"), F.sum(F.when(F.col("other") == "other", F.col("n")).otherwise(0)).alias("other"))
     seen = stops.join(after, "word", "full").na.fill(0)
     total = F.col("inner") + F.col("other") + F.col("capital")
     kinds = seen.withColumn("total", total).withColumn(
         "kind",
-        F.when((F.col("total") >= least) & (F.col("inner") >= 0.5 * F.col("total")), "going_on").when((F.col("total") >= least) & (F.col("capital") >= 0.8 * F.col("total")) & (F.col("usual") <= 0.05 * F.col("capital")), "title"),
+        F.when((F.col("total") >= least) & (F.col("inner") >= 0.5 * F.col("total")), "going_on").when((F.col("total") >= least) & (F.col("capital") >= 0.8 * F.col("total")) & (F.col("usual") <= 0.05 * F.col("capital")) & (F.col("name") >= 0.5 * F.col("capital")), "title"),
     )
     chosen = kinds.where("kind is not null").select("kind", "word", F.col("total").alias("n"))
     lists: dict[str, frozenset[str]] = {}
