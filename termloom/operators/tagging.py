@@ -110,6 +110,15 @@ def assign_terms(corpus: DataFrame, terms: DataFrame, block: int = TERMS_PER_BLO
     return found if found is not None else spark.createDataFrame([], f"doc_id {kind}, term string")
 
 
+def align_tags(word_ids: list[int | None], tags: list[str], names: tuple[str, ...] = (OUTSIDE, BEGIN, INSIDE)) -> list[int]:
+    """Tag numbers for the sub-words of a sentence: -100 for special tokens and for all but a word's first sub-word.
+
+    For taggers that split words further; ``word_ids`` has the word of each sub-word.
+    """
+    number = {name: i for i, name in enumerate(names)}
+    return [-100 if w is None or (k and word_ids[k - 1] == w) else number[tags[w]] for k, w in enumerate(word_ids)]
+
+
 class Tagger(Protocol):
     """A token classifier: fitted on tagged tokens, then a function of token lists inside the tasks."""
 

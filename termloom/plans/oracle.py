@@ -117,6 +117,8 @@ SQL: dict[str, str] = {
         two as (select doc_id, unnest(list_transform(range(1, len(w)), lambda i: {{'term': w[i] || ' ' || w[i + 1], 'start': s[i]."start", 'end': s[i + 1]."end"}})) as x from tok)
         select doc_id, term, x."start" as start, x."end" as "end" from one union all select doc_id, x.term, x."start", x."end" from two""",
     "whitespace_split": rf"with {FORCE}, w as (select doc_id, regexp_extract_all(lower(text), '[^{SPACE}]+') as w from t where text is not null) select doc_id, unnest(range(len(w)))::int as pos, unnest(w) as word from w",
+    "ngrams_rejoined": f"""with {FORCE}, {SPANS} select doc_id, array_to_string(flatten(list_transform(range(1, len(w) + 1),
+        lambda i: case when i < len(w) then [w[i], w[i] || ' ' || w[i + 1]] else [w[i]] end)), ' ') as text from tok""",
     "term_counts": BASE + " select doc_id, n_ngrams, term, cnt from counts",
     "tf": BASE + f" select doc_id, term, {_rounded('cnt / n_ngrams')} as tf from counts",
     "document_count": f"with {FORCE}, {NDOCS} select n_docs from n",

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from termloom.functions.text import split_white
 from termloom.operators import coherence, nesting, rake, scorers, stats, supervised, tagging, topics
 from termloom.results import Extraction
-from termloom.sources.corpus import annotated, tokens
+from termloom.sources.corpus import annotated, rejoined, tokens
 from termloom.sources.tables import records_in_force, table
 
 N = 2
@@ -126,6 +126,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ngrams_1_2": lambda s, d: stats.candidates(texts(s, d), N, "text"),
     "ngrams_with_offsets": lambda s, d: stats.occurrences(spans(s, d), N),
     "whitespace_split": lambda s, d: texts(s, d).select("doc_id", F.posexplode(split_white(F.lower("text"))).alias("pos", "word")),
+    "ngrams_rejoined": lambda s, d: rejoined(spans(s, d), N),
     "term_counts": lambda s, d: _counts(s, d),
     "tf": _scorer(lambda s, d: stats.with_tf(_counts(s, d)).select("doc_id", "term", "tf")),
     "document_count": lambda s, d: stats.document_count(texts(s, d)),

@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.functions.text import once, span_words, words
+from termloom.functions.text import ngrams, once, span_words, words
 
 TEXT, SPAN = "text", "span"
 
@@ -44,3 +44,12 @@ def tokens(corpus: DataFrame, mode: str | None = None) -> DataFrame:
 def annotated(corpus: DataFrame) -> DataFrame:
     """The documents of a span corpus that have a ``words`` layer and a text."""
     return corpus.where(F.col("words").isNotNull() & F.col("text").isNotNull())
+
+
+def rejoined(corpus: DataFrame, n: int) -> DataFrame:
+    """A text corpus in which every span document is the space-join of all its 1..n-grams.
+
+    Some span methods tokenise this text again, which inflates counts and makes n-grams across the
+    seams; it is here for comparisons with them.
+    """
+    return tokens(corpus, SPAN).select("doc_id", F.array_join(ngrams("tokens", n), " ").alias("text"))

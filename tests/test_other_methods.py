@@ -147,3 +147,22 @@ def test_tagging(spark):
     assert {tuple(r) for r in tagging.assign_terms(docs, terms, 1).collect()} == wanted
     spans = spark.createDataFrame([("s", "Hi . Yo", [(0, 2), (3, 4), (5, 7)])], "doc_id string, text string, words array<struct<start:int,end:int>>")
     assert [r["tokens"] for r in tagging.span_sentences(spans).orderBy("sent_no").collect()] == [["Hi", "."], ["Yo"]]
+
+
+def test_alignment_and_rejoined_text(spark):
+    from termloom.sources.corpus import rejoined
+
+    assert tagging.align_tags([None, 0, 0, 1, 2, None], ["B-T", "T", "n"]) == [-100, 1, -100, 2, 0, -100]
+    spans = spark.createDataFrame([("s", "Hi Yo", [(0, 2), (3, 5)])], "doc_id string, text string, words array<struct<start:int,end:int>>")
+    assert rejoined(spans, 2).collect()[0]["text"] == "Hi Hi Yo Yo"
+
+
+def test_stream_of_documents(spark, tmp_path):
+    from termloom.streaming.term_stream import stream_term_stats, write_stats
+
+    rows = [("a", "x y x", "2024-01-01 01:00:00"), ("b", "x", "2024-01-01 02:00:00"), ("c", "x", "2024-01-02 01:00:00"), ("n", "x", None), ("z", None, "2024-01-03 00:00:00"), ("l", "q", "2024-01-09 00:00:00")]
+    spark.createDataFrame(rows, "doc_id string, text string, at string").withColumn("at", F.col("at").cast("timestamp")).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("doc_id string, text string, at timestamp").parquet(str(tmp_path / "in"))
+    write_stats(stream_term_stats(stream, "at"), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+    got = {(str(r["window_start"])[:10], r["term"]): (r["df"], r["cf"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {("2024-01-01", "x"): (2, 3), ("2024-01-01", "y"): (1, 1), ("2024-01-02", "x"): (1, 1)}
