@@ -29,7 +29,7 @@ DAMPING, STEPS = 0.85, 20
 #: Decimals to which stationary probabilities are compared; equal ones are ordered by term.
 DIGITS = 12
 #: Score rows of a record that one task may walk.
-LOCAL = 400_000
+LOCAL = 1_000_000
 RANKED = "doc_id string, term string, weight double, place long, scorers long, record_scorers long, record_terms long, winner boolean"
 
 
