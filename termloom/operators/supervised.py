@@ -22,7 +22,7 @@ FEATURES = ("freq", "mi", "mi3", "dice", "log_likelihood", "occ_log_likelihood",
 def corpus_terms(corpus: DataFrame, n: int = 1, mode: str | None = None) -> DataFrame:
     """``term, cf, n_all``: every distinct 1..n-gram with its occurrences and those of all."""
     counts = candidates(corpus, n, mode).groupBy("term").agg(F.count(F.lit(1)).alias("cf"))
-    return counts.crossJoin(F.broadcast(candidates(corpus, n, mode).agg(F.count(F.lit(1)).alias("n_all"))))
+    return counts.crossJoin(F.broadcast(counts.agg(F.sum("cf").alias("n_all"))))
 
 
 def with_labels(terms: DataFrame, labels: DataFrame, normalize_labels: bool = False) -> DataFrame:
