@@ -146,6 +146,16 @@ FREQUENCIES = f"""
     marks as (select field_name, item, occurrences, records, case when records <= 1 then 'rare' when records > 0.42 * n then 'common' end as mark from counts)
 """
 
+REPETITION = r"""
+    with r as (select doc_id, regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{M}\p{N}]+', '', 'g') as s from documents),
+    g as (select doc_id, i, substring(s, i, 30) as w from (select doc_id, s, unnest(range(1, len(s) - 28)) as i from r)),
+    again as (select doc_id, i from (select doc_id, i, min(i) over (partition by doc_id, w) as f from g) where i > f),
+    covered as (select doc_id, sum(least(30, coalesce(following - i, 30)))::bigint as n
+                from (select doc_id, i, lead(i) over (partition by doc_id order by i) as following from again) group by doc_id),
+    shares as (select doc_id, len(s)::bigint as n_chars, coalesce(n, 0)::bigint as repeated_chars,
+                      case when len(s) > 0 then coalesce(n, 0) / len(s) else 0.0 end::double as share from r left join covered using (doc_id))
+"""
+
 SCORES_IN_FORCE = """
     select doc_id, scorer, term, score from terms
     where doc_id is not null and scorer is not null and term is not null
@@ -186,4 +196,6 @@ def oracle_sql() -> dict[str, str]:
                       from s a join s b on a.doc_id = b.doc_id and a.scorer = b.scorer and a.term <> b.term group by all),
             won as (select doc_id, term, count(*) as n from pairs where lead > 0 group by all)
             select doc_id, term from won join r using (doc_id) where n = k - 1""",
+        "p10_found": REPETITION + " select doc_id from shares where n_chars > 0 and repeated_chars >= 0.3 * n_chars",
+        "p10_shares": REPETITION + " select doc_id, n_chars, repeated_chars, share from shares",
     }
