@@ -22,9 +22,9 @@ from termloom.llm.sentences import Book, units
 FORBIDDEN, INSIDE, SPACE, CLAUSE, SENTENCE, LINE_END, BLANK = -1, 0, 1, 2, 3, 4, 5
 AFTER_SPACE = re.compile(r"\s+")
 AFTER_CLAUSE = re.compile(r"[,;:،؛，；：、]\s*(?=[^\s\d])")
-AFTER_LINES = re.compile(r"[^\S\n\r]*(?:\r\n|[\n\r\x0b\x0c\x85  ])\s*")
-LINE_BREAK = re.compile(r"\r\n|[\n\r\x0b\x0c\x85  ]")
-GLUED = regex.compile(r"[\p{M}‍️]|(?<=‍).|(?<=\r)\n", regex.S)
+AFTER_LINES = re.compile(r"[^\S\n\r]*(?:\r\n|[\n\r\x0b\x0c\x85\u2028\u2029])\s*")
+LINE_BREAK = re.compile(r"\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]")
+GLUED = regex.compile(r"[\p{M}\u200d\ufe0f]|(?<=\u200d).|(?<=\r)\n", regex.S)
 #: Positions a table covers at a time, beside one window; bounds memory for texts of any length.
 BLOCK = 1 << 16
 

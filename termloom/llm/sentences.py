@@ -42,7 +42,7 @@ CLOSERS = frozenset(OPENERS.values()) | frozenset("”’“\"")
 LINE = re.compile(r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")
 RUN = re.compile(rf"[{STOPS}]+")
 QUOTES = re.compile(r"[(\[{（［【「『«‹)\]}）］】」』»›“”„‘’\"]")
-LIST_MARK = re.compile(r"\s*(?:[-*•·‣▪◦・–—]\s*(?=\S)|[(（]\w{1,3}[)）]\s*|\d{1,3}[.)、．]\s*(?!\d)|\d{1,3}[.)]\s+)")
+LIST_MARK = re.compile(r"\s*(?:[-*•·‣▪◦・–]\s*(?=\S)|[(（]\w{1,3}[)）]\s*|\d{1,3}[.)、．]\s*(?!\d)|\d{1,3}[.)]\s+)")
 WORD_BEFORE = re.compile(r"[^\s()\[\]{}（）«»„“”‘’\"「」『』…!?]*\Z")
 NEXT_WORD = re.compile(r"[\w\u0300-\u036f]+")
 THAI_GAP = re.compile(r"(?<=[\u0e00-\u0e7f])[ \t\u00a0]+(?=[\u0e00-\u0e7f])")
@@ -193,7 +193,7 @@ def _join(text: str, lines: list[tuple[int, int]], out: list[tuple[int, int]], b
         last, following = text[s + sizes[i] - 1], text[lines[i + 1][0] : lines[i + 1][1]].lstrip()
         if _spaceless(last) or _spaceless(following[0]):
             joins = sizes[i] == longest >= 20 and sizes.count(longest) >= 3 and last not in STOPS and last not in CLOSERS and not item and LIST_MARK.match(following) is None
-        elif not item and WRAP[0] <= sizes[i] <= WRAP[1] and sizes[i + 1] <= WRAP[1] and sizes[i] >= 0.6 * longest:
+        elif not item and WRAP[0] <= sizes[i] <= WRAP[1] and sizes[i + 1] <= WRAP[1] and sizes[i] >= 0.55 * longest:
             joins = True
             if LIST_MARK.match(following):  # a mark, or a number that an abbreviation leads in
                 before = WORD_BEFORE.search(text[max(s, e - 30) : s + sizes[i] - 1]).group() if last == "." else ""
