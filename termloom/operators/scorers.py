@@ -9,14 +9,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termloom.operators.stats import above, clean, idf, idf_smooth, normalised_frequency, residual_idf, term_counts, term_stats, with_n, with_tf
+from termloom.operators.stats import above, clean, idf, idf_smooth, kept_counts, normalised_frequency, residual_idf, term_counts, term_stats, with_n, with_tf
 
 FLOOR = 1e-9
 
 
 def tfidf(corpus: DataFrame, n: int = 1, threshold: float | None = None, mode: str | None = None) -> DataFrame:
     """tf * ln(N / (1 + df)); negative for a term in every document."""
-    counts = term_counts(corpus, n, mode)
+    counts = kept_counts(corpus, n, mode)
     rows = with_n(with_tf(counts).join(term_stats(counts), "term"), corpus)
     scored = rows.select("doc_id", "term", clean(F.col("tf") * idf(F.col("n_docs"), F.col("df"))).alias("score"))
     return above(scored, threshold)
@@ -24,7 +24,7 @@ def tfidf(corpus: DataFrame, n: int = 1, threshold: float | None = None, mode: s
 
 def ridf(corpus: DataFrame, n: int = 1, threshold: float | None = None, mode: str | None = None, textbook: bool = False) -> DataFrame:
     """tf times the residual idf; always negative, so a threshold of 0 or more leaves nothing."""
-    counts = term_counts(corpus, n, mode)
+    counts = kept_counts(corpus, n, mode)
     rows = with_n(with_tf(counts).join(term_stats(counts), "term"), corpus)
     scored = rows.select("doc_id", "term", clean(F.col("tf") * residual_idf(F.col("n_docs"), F.col("df"), F.col("cf"), textbook)).alias("score"))
     return above(scored, threshold)
@@ -37,7 +37,7 @@ def _reference_df(reference: DataFrame, n: int, mode: str | None) -> DataFrame:
 
 def domain_pertinence(corpus: DataFrame, reference: DataFrame, n: int = 1, threshold: float | None = None, mode: str | None = None) -> DataFrame:
     """tf * idf in the reference (0 if absent) / max(idf in the corpus, 1e-9)."""
-    counts = term_counts(corpus, n, mode)
+    counts = kept_counts(corpus, n, mode)
     rows = with_n(with_tf(counts).join(term_stats(counts), "term"), corpus).join(_reference_df(reference, n, mode), "term", "left")
     contrast = F.coalesce(idf(F.col("ref_docs"), F.col("ref_df")), F.lit(0.0))
     score = F.col("tf") * contrast / F.greatest(idf(F.col("n_docs"), F.col("df")), F.lit(FLOOR))
@@ -50,7 +50,7 @@ def weirdness(corpus: DataFrame, reference: DataFrame, n: int = 1, threshold: fl
     ``formula`` 'ntf' (text mode's): collection share here / share there; 'idf' (span mode's): tf /
     idf there. What is absent or not positive there counts as 1e-9.
     """
-    counts = term_counts(corpus, n, mode)
+    counts = kept_counts(corpus, n, mode)
     if formula == "ntf":
         there = normalised_frequency(term_counts(reference, n, mode)).withColumnRenamed("ntf", "ref_ntf")
         here = normalised_frequency(counts).join(there, "term", "left")
@@ -67,7 +67,7 @@ def weirdness(corpus: DataFrame, reference: DataFrame, n: int = 1, threshold: fl
 
 def relevance(corpus: DataFrame, reference: DataFrame, n: int = 1, threshold: float | None = None, mode: str | None = None) -> DataFrame:
     """1 - log2(2 + tf * smooth idf here / smooth idf there (1 if absent)); always negative."""
-    counts = term_counts(corpus, n, mode)
+    counts = kept_counts(corpus, n, mode)
     rows = with_n(with_tf(counts).join(term_stats(counts), "term"), corpus).join(_reference_df(reference, n, mode), "term", "left")
     there = F.greatest(F.coalesce(idf_smooth(F.col("ref_docs"), F.col("ref_df")), F.lit(1.0)), F.lit(FLOOR))
     score = 1 - F.log2(2 + F.col("tf") * idf_smooth(F.col("n_docs"), F.col("df")) / there)

@@ -7,6 +7,7 @@ document frequencies need no distinct.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +32,15 @@ def term_counts(corpus: DataFrame, n: int = 1, mode: str | None = None) -> DataF
     return candidates(corpus, n, mode).groupBy("doc_id", "n_ngrams", "term").agg(F.count(F.lit(1)).alias("cnt"))
 
 
+def kept_counts(corpus: DataFrame, n: int = 1, mode: str | None = None) -> DataFrame:
+    """``term_counts`` kept on the executors' disks, for scorers that read them twice.
+
+    The same counts of the same corpus are found again by later scorers. Lost parts are made anew
+    from the corpus; ``spark.catalog.clearCache()`` or ``unpersist()`` gives the space back.
+    """
+    return term_counts(corpus, n, mode).persist(StorageLevel.DISK_ONLY)
+
+
 def with_tf(counts: DataFrame) -> DataFrame:
     """``counts`` with ``tf``, the share of the document's n-grams."""
     return counts.withColumn("tf", F.col("cnt") / F.col("n_ngrams"))
