@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termloom.functions.arrow_groups import key_codes, runs, whole_groups
@@ -26,8 +26,10 @@ from termloom.functions.running import running_sum
 from termloom.session import discard, written, written_path
 
 DAMPING, STEPS = 0.85, 20
-#: Decimals to which stationary probabilities are compared; equal ones are ordered by term.
-DIGITS = 12
+#: Significant digits, decimal and binary, to which stationary probabilities are compared; equal ones are ordered by term.
+DIGITS, BITS = 12, 40
+#: Rows whose sums may be cumulated together; a longer segment stands alone.
+BLOCK = 4096
 #: Score rows of a record that one task may walk.
 LOCAL = 1_000_000
 RANKED = "doc_id string, term string, weight double, place long, scorers long, record_scorers long, record_terms long, winner boolean"
@@ -53,6 +55,9 @@ class Walk:
         self.higher = np.repeat(tie, tie_size) - np.repeat(start, size)  # rows ranked strictly higher
         self.after_tie = np.repeat(np.append(tie[1:], len(segment)), tie_size)
         self.segment_end = np.repeat(start + size, size)
+        block = start[runs(start // BLOCK)]
+        self.blocks = list(zip(block, np.append(block[1:], len(segment))))
+        self.closes = np.isin(self.segment_end, np.append(block, len(segment)))
         self.scorers = np.bincount(self.item, minlength=len(self.item_doc))
 
     def stationary(self, damping: float = DAMPING, steps: int = STEPS) -> np.ndarray:
@@ -70,11 +75,22 @@ class Walk:
         for _ in range(steps):
             before = p
             leaving = (p / self.scorers)[self.item]
-            prefix = np.concatenate(([0.0], np.cumsum(np.where(top, 0.0, leaving * share))))
-            arriving = prefix[self.segment_end] - prefix[self.after_tie] + np.where(top, leaving, 0.0)
+            arriving = self.below(np.where(top, 0.0, leaving * share)) + np.where(top, leaving, 0.0)
             p = damping * np.bincount(self.item, weights=arriving, minlength=len(p)) + (1 - damping) / size
         return (p - damping * before) / (1 - damping)
 
+    def below(self, value: np.ndarray) -> np.ndarray:
+        """For each row the sum of ``value`` over the rows its scorer ranks strictly lower.
+
+        Sums run from the lowest row up, in extended precision and with few other records before
+        them, so that their error stays small beside the weights of a large record.
+        """
+        tail = np.zeros(len(value) + 1, dtype=np.longdouble)
+        for a, b in self.blocks:
+            tail[a:b] = np.cumsum(value[a:b][::-1], dtype=np.longdouble)[::-1]
+        found = tail[self.after_tie] - np.where(self.closes, 0.0, tail[self.segment_end])
+        return np.where(self.after_tie < self.segment_end, found, 0.0).astype(float)
+
     def winners(self, order: np.ndarray) -> np.ndarray:
         """The items that have the higher score under more scorers than the lower one against each other item of their record.
 
@@ -113,6 +129,21 @@ def runs_of_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
 
 
+def comparable(weight: np.ndarray, record_terms: np.ndarray) -> np.ndarray:
+    """Weights to BITS significant binary digits; those below the mean of their record to the last digit of that mean.
+
+    The digits kept follow the size of the weights, so a record of many terms has no more ties than a small one.
+    """
+    unit = np.ldexp(1.0, np.frexp(np.maximum(weight, 1.0 / record_terms))[1] - BITS)
+    return np.rint(weight / unit) * unit
+
+
+def comparable_column(weight: str, record_terms: str) -> Column:
+    """``comparable`` as an expression; the unit is a power of two, so both give the same value."""
+    unit = F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(F.col(weight), 1.0 / F.col(record_terms)))) - (BITS - 1))
+    return F.rint(F.col(weight) / unit) * unit + F.lit(0.0)
+
+
 def alphabetical(names: pa.Array) -> np.ndarray:
     """The place of each string in code-point order."""
     place = np.empty(len(names), dtype=np.int64)
@@ -132,8 +163,8 @@ def _local(rows: DataFrame) -> DataFrame:
             w = Walk(doc, key_codes(chunk.column("term")), key_codes(chunk.column("scorer")), chunk.column("score").to_numpy())
             p = w.stationary()
             terms = chunk.column("term").combine_chunks().take(pa.array(w.first_row))
-            order = np.lexsort((alphabetical(terms), -np.round(p, DIGITS), w.item_doc))
             of = np.repeat(np.arange(len(w.doc_start)), w.doc_size)
+            order = np.lexsort((alphabetical(terms), -comparable(p, w.doc_size[of]), w.item_doc))
             place = np.empty(len(p), dtype=np.int64)
             place[order] = np.arange(len(p)) - np.repeat(w.doc_start, w.doc_size) + 1
             pairs = np.unique(w.doc * (int(w.scorer.max()) + 1) + w.scorer) // (int(w.scorer.max()) + 1)
@@ -196,7 +227,7 @@ def _distributed(rows: DataFrame, damping: float = DAMPING, steps: int = STEPS)
     weight = (F.col("p") - damping * F.col("before")) / (1 - damping)
     result = items.drop("e").join(state.select("item", weight.alias("weight")), "item")
     scorers = rows.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("scorers"))
-    ordered = result.join(scorers, ["doc_id", "term"]).withColumn("key", F.round("weight", DIGITS)).repartitionByRange("doc_id", F.col("key").desc(), "term").withColumn("block", F.spark_partition_id())
+    ordered = result.join(scorers, ["doc_id", "term"]).withColumn("key", comparable_column("weight", "record_terms")).repartitionByRange("doc_id", F.col("key").desc(), "term").withColumn("block", F.spark_partition_id())
     placed = running_sum(written(ordered.withColumn("one", F.lit(1)), "walk-order"), ["doc_id"], "block", [F.col("key").desc(), F.col("term")], "one", "above")
     champions = F.broadcast(_champions(rows))  # at most one row for each record of more than LOCAL rows
     return placed.join(champions, ["doc_id", "term"], "left").select("doc_id", "term", "weight", (F.col("above") + 1).cast("long").alias("place"), F.col("scorers").cast("long").alias("scorers"), F.col("record_scorers").cast("long").alias("record_scorers"), F.col("record_terms").cast("long").alias("record_terms"), F.coalesce("winner", F.lit(False)).alias("winner"))

@@ -3,6 +3,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -241,5 +242,25 @@ def test_rank_walk(spark, local):
         assert [got[d][t]["place"] for t in order] == list(range(1, len(order) + 1))
 
 
+@pytest.mark.parametrize("local", [10**6, 1000])
+def test_rank_walk_of_many_terms_keeps_different_weights_apart(spark, local):
+    n = 30_000
+    scores = np.random.default_rng(11).permuted(np.tile(np.arange(n), (4, 1)), axis=1)
+    df = spark.createDataFrame(pa.table({"doc_id": ["d"] * 4 * n, "scorer": np.repeat(list("wxyz"), n), "term": [f"t{i:05}" for i in range(n)] * 4, "score": scores.ravel().astype(float)}))
+    got = rank_terms(df, local).select("weight", "place").orderBy("place").toPandas()
+    weight = got["weight"].to_numpy()
+    assert got["place"].tolist() == list(range(1, n + 1))
+    assert len(np.unique(np.round(weight, rank_walk.DIGITS))) < len(np.unique(weight))
+    assert (weight[1:] <= weight[:-1] * (1 + 1e-11)).all()
+
+
+def test_rounded_weights_are_those_of_the_tables(spark):
+    weight = np.concatenate([2.0 ** -np.arange(1.0, 40), np.random.default_rng(1).random(500) ** 8, [0.0, -1e-9, 1e-30]])
+    df = spark.createDataFrame(pa.table({"w": weight, "n": np.full(len(weight), 1000)}))
+    assert df.select(rank_walk.comparable_column("w", "n")).toPandas().iloc[:, 0].tolist() == rank_walk.comparable(weight, np.full(len(weight), 1000)).tolist()
+    tops = rank_walk.comparable(1e-6 * (1 + np.array([0.0, 1e-15, 1e-10])), np.full(3, 1_000_000))
+    assert tops[0] == tops[1] < tops[2]
+
+
 def test_rank_walk_of_nothing(spark):
     assert rank_terms(spark.createDataFrame([], "doc_id string, scorer string, term string, score double")).collect() == []
