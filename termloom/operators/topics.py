@@ -17,13 +17,17 @@ from termloom.session import written
 from termloom.sources.corpus import tokens
 
 SEED = 42
-VOCABULARY = 1 << 18
+#: CountVectorizer has no setting for "all entries"; it takes no more than there are.
+ALL_ENTRIES = (1 << 31) - 1
 
 
-def fit_lda(corpus: DataFrame, num_topics: int = 20, n: int = 1, mode: str | None = None, max_iter: int = 10, vocabulary: int = VOCABULARY) -> tuple[CountVectorizerModel, LDAModel]:
-    """A vocabulary of at most ``vocabulary`` lower-cased 1..n-grams and an LDA model over it."""
+def fit_lda(corpus: DataFrame, num_topics: int = 20, n: int = 1, mode: str | None = None, max_iter: int = 10, vocabulary: int | None = None) -> tuple[CountVectorizerModel, LDAModel]:
+    """A vocabulary of the ``vocabulary`` most frequent lower-cased 1..n-grams, all for None, and an LDA model over it.
+
+    The driver and each task hold a (topics, vocabulary) matrix.
+    """
     grams = tokens(corpus, mode).select("doc_id", once(F.transform("tokens", F.lower)).alias("tokens")).select("doc_id", once(ngrams("tokens", n)).alias("grams"))
-    vectorizer = CountVectorizer(inputCol="grams", outputCol="features", vocabSize=vocabulary).fit(grams)
+    vectorizer = CountVectorizer(inputCol="grams", outputCol="features", vocabSize=vocabulary or ALL_ENTRIES).fit(grams)
     vectors = vectorizer.transform(grams.where(F.size("grams") > 0)).select("features")
     prior = 1.0 / num_topics
     lda = LDA(k=num_topics, maxIter=max_iter, seed=SEED, optimizer="online", subsamplingRate=1.0, docConcentration=[prior], topicConcentration=prior)
@@ -31,10 +35,10 @@ def fit_lda(corpus: DataFrame, num_topics: int = 20, n: int = 1, mode: str | Non
 
 
 def word_weights(vectorizer: CountVectorizerModel, model: LDAModel, corpus: DataFrame) -> DataFrame:
-    """``word, weight``: the greatest probability of each vocabulary entry in any topic."""
+    """``word, weight``: the greatest probability of each single word of the vocabulary in any topic."""
     matrix = model.topicsMatrix().toArray()
     best = (matrix / matrix.sum(axis=0, keepdims=True)).max(axis=1)
-    rows = [(w, float(p)) for w, p in zip(vectorizer.vocabulary, best)]
+    rows = [(w, float(p)) for w, p in zip(vectorizer.vocabulary, best) if " " not in w]
     return corpus.sparkSession.createDataFrame(rows, "word string, weight double")
 
 
@@ -124,9 +128,9 @@ def fit_nmf(vectors: DataFrame, n_features: int, n_topics: int = 10, iterations:
 def nmf_terms(corpus: DataFrame, n: int = 1, n_topics: int = 10, max_features: int | None = None, threshold: float | None = None, mode: str | None = None) -> DataFrame:
     """``term, score``: the greatest weight of each vocabulary term in any topic; one list for the corpus.
 
-    ``max_features`` None takes VOCABULARY terms at most.
+    ``max_features`` None takes 262,144 terms at most.
     """
-    vectors, vocabulary = tfidf_vectors(corpus, n, max_features or VOCABULARY, mode)
+    vectors, vocabulary = tfidf_vectors(corpus, n, max_features or (1 << 18), mode)
     h, _ = fit_nmf(written(vectors, "vectors"), len(vocabulary), n_topics)
     rows = [(t, float(s)) for t, s in zip(vocabulary, h.max(axis=0))] if vocabulary else []
     return above(corpus.sparkSession.createDataFrame(rows, "term string, score double"), threshold)
