@@ -126,13 +126,12 @@ def distinctive_terms(terms: DataFrame, record: str = "doc_id", term: str = "ter
 def outstanding_terms(terms: DataFrame, ratio: float = 2.03, own: float = OWN) -> DataFrame:
     """``(doc_id, term)`` of the terms that alone stand out of their record.
 
-    Candidates are the terms to which the converged model gives mass; the exact check then asks for
-    a positive tf-idf weight of at least ``ratio`` times that of every other term of the record,
-    which must have two terms or more.
+    Every term of a record is a candidate: the model may give no mass to a term that a large record
+    puts into the background. Asked for is a positive tf-idf weight of at least ``ratio`` times that
+    of every other term of the record, which must have two terms or more.
     """
     pairs, totals = _prepared(terms, "doc_id", "term", "freq")
     models = record_models(pairs, totals, own).where(f"n_terms > 1 and best > 0 and best * (1 + 1e-12) >= {ratio} * second")
     weight = F.col("freq") / F.col("total_freq") * F.ln(F.col("records") / (1 + F.col("df")))
-    share = F.col("freq") / F.col("z") - F.lit((1.0 - own) / own) * F.col("cf") / F.col("occurrences")
-    found = pairs.join(models, "doc_id").crossJoin(F.broadcast(totals)).where((share > 0) & (weight >= F.col("best") * (1 - 1e-9)))
+    found = pairs.join(models, "doc_id").crossJoin(F.broadcast(totals)).where(weight >= F.col("best") * (1 - 1e-9))
     return found.select("doc_id", "term")

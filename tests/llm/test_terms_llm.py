@@ -196,6 +196,11 @@ def test_value_frequencies_with_a_hot_record_and_marks(spark):
     assert frequencies(layout_of_texts(spark.createDataFrame([], "text string"))).collect() == []
 
 
+def test_outstanding_term_of_the_background(spark):
+    rows = [("hot", t, 1000) for t in "xyz"] + [("r", "x", 40)] + [("r", f"rare{i}", 1) for i in range(60)] + [(f"d{i}", f"only{i}", 1) for i in range(200)]
+    assert [tuple(r) for r in outstanding_terms(spark.createDataFrame(rows, "doc_id string, term string, freq int")).collect()] == [("r", "x")]
+
+
 # --- problem 7
 
 def brute_walk(rows, damping=rank_walk.DAMPING, steps=rank_walk.STEPS):
