@@ -56,21 +56,22 @@ def lda_terms(corpus: DataFrame, num_topics: int = 20, n: int = 1, threshold: fl
     return above(rows, threshold)
 
 
-def tfidf_vectors(corpus: DataFrame, n: int, max_features: int, mode: str | None = None) -> tuple[DataFrame, list[str]]:
+def tfidf_vectors(corpus: DataFrame, n: int, max_features: int | None = None, mode: str | None = None) -> tuple[DataFrame, list[str]]:
     """``(doc_id, terms ARRAY<INT>, weights ARRAY<DOUBLE>)`` and the vocabulary.
 
     The vocabulary is the ``max_features`` most frequent 1..n-grams of words of two or more
-    characters; weights are tf * (ln((1 + N) / (1 + df)) + 1), with rows of length 1.
+    characters, all of them for None; weights are tf * (ln((1 + N) / (1 + df)) + 1), with rows of length 1.
     """
     words = tokens(corpus, mode).select("doc_id", F.transform("tokens", F.lower).alias("tokens"))
     words = words.select("doc_id", once(F.filter("tokens", lambda w: F.length(w) > 1)).alias("tokens"))
     grams = words.select("doc_id", F.explode(ngrams("tokens", n)).alias("term"))
     counts = written(grams.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("cnt")), "counts")
-    chosen = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("cnt").alias("cf")).orderBy(F.col("cf").desc(), "term").limit(max_features).collect()
+    ranked = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("cnt").alias("cf")).orderBy(F.col("cf").desc(), "term")
+    chosen = (ranked if max_features is None else ranked.limit(max_features)).collect()
     number = corpus.sparkSession.createDataFrame([(r["term"], i, r["df"]) for i, r in enumerate(chosen)], "term string, number int, df long")
     total = F.broadcast(corpus.agg(F.count(F.lit(1)).alias("n_docs")))
     weight = F.col("cnt") * (F.ln((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1)
-    cells = counts.join(F.broadcast(number), "term").crossJoin(total).select("doc_id", "number", weight.alias("w"))
+    cells = counts.join(number if max_features is None else F.broadcast(number), "term").crossJoin(total).select("doc_id", "number", weight.alias("w"))
     rows = cells.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("number", "w"))).alias("cells"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return rows.select("doc_id", F.col("cells.number").alias("terms"), F.transform("cells.w", lambda w: w / F.col("norm")).alias("weights")), [r["term"] for r in chosen]
 
@@ -80,7 +81,7 @@ def fit_nmf(vectors: DataFrame, n_features: int, n_topics: int = 10, iterations:
 
     Multiplicative updates. Document factors are solved for inside the tasks from the H of the round
     and never stored; a round sends one (topics, features) and one (topics, topics) sum per task,
-    added up by topic on the executors. Its memory is that of H, which ``max_features`` bounds.
+    added up by topic on the executors. Its memory is that of H, which ``max_features`` bounds where it is given.
     """
     spark = vectors.sparkSession
     h = np.random.default_rng(seed).random((n_topics, n_features)) + 0.1
@@ -128,9 +129,9 @@ def fit_nmf(vectors: DataFrame, n_features: int, n_topics: int = 10, iterations:
 def nmf_terms(corpus: DataFrame, n: int = 1, n_topics: int = 10, max_features: int | None = None, threshold: float | None = None, mode: str | None = None) -> DataFrame:
     """``term, score``: the greatest weight of each vocabulary term in any topic; one list for the corpus.
 
-    ``max_features`` None takes 262,144 terms at most.
+    ``max_features`` None takes all terms; the driver and each task hold a (topics, vocabulary) matrix.
     """
-    vectors, vocabulary = tfidf_vectors(corpus, n, max_features or (1 << 18), mode)
+    vectors, vocabulary = tfidf_vectors(corpus, n, max_features, mode)
     h, _ = fit_nmf(written(vectors, "vectors"), len(vocabulary), n_topics)
     rows = [(t, float(s)) for t, s in zip(vocabulary, h.max(axis=0))] if vocabulary else []
     return above(corpus.sparkSession.createDataFrame(rows, "term string, score double"), threshold)

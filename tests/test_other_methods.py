@@ -95,6 +95,11 @@ def test_lda_scores_every_word(spark):
     assert topics.lda_terms(corpus, 2, fitted=topics.fit_lda(corpus, 2, max_iter=1)).count() == 270_000
 
 
+def test_nmf_without_limit_scores_every_term(spark):
+    corpus = from_list(spark, [" ".join(f"w{i}" for i in range(d * 10_000, (d + 1) * 10_000)) for d in range(27)])  # more than 2^18 terms
+    assert topics.nmf_terms(corpus, 1, 2).count() == 270_000
+
+
 def test_labels_join(spark):
     terms = from_list(spark, ["ai research AI"])
     labels = spark.createDataFrame([("AI research", 1), ("ai", 1), ("ai", 0), (" Research ", 1), (None, 1), ("x", None)], "term string, label int")
