@@ -131,10 +131,10 @@ class LexiconTagger:
     """Tags a token by the tag it most often had in training, by its neighbours where that is known.
 
     The lexicon holds (previous token, token) and token entries that were part of a term at least
-    once; ``entries`` bounds it, the most frequent first.
+    once: all of them, or the ``entries`` most frequent where that is given. Driver and tasks hold it.
     """
 
-    def __init__(self, entries: int = 200_000) -> None:
+    def __init__(self, entries: int | None = None) -> None:
         self.entries = entries
         self.tags: dict[tuple[str, str], str] | None = None
 
@@ -143,7 +143,9 @@ class LexiconTagger:
         rows = tagged.select(F.coalesce(F.lag(F.lower("token")).over(order), F.lit("")).alias("before"), F.lower("token").alias("token"), "tag")
         counts = rows.unionByName(rows.withColumn("before", F.lit("*"))).groupBy("before", "token", "tag").agg(F.count(F.lit(1)).alias("n"))
         best = counts.groupBy("before", "token").agg(F.max_by("tag", F.struct("n", "tag")).alias("tag"), F.sum("n").alias("n"), F.max(F.col("tag") != OUTSIDE).alias("part"))
-        self.tags = {(r["before"], r["token"]): r["tag"] for r in best.where("part").orderBy(F.col("n").desc(), "before", "token").limit(self.entries).collect()}
+        part = best.where("part")
+        kept = part if self.entries is None else part.orderBy(F.col("n").desc(), "before", "token").limit(self.entries)
+        self.tags = {(r["before"], r["token"]): r["tag"] for r in kept.collect()}
         return self
 
     def predict(self, tokens: list[str]) -> list[str]:

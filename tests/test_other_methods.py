@@ -100,6 +100,12 @@ def test_nmf_without_limit_scores_every_term(spark):
     assert topics.nmf_terms(corpus, 1, 2).count() == 270_000
 
 
+def test_lexicon_keeps_every_pair(spark):
+    tagged = spark.range(120_000).selectExpr("id as doc_id", "0 as sent_no", "0 as pos", "concat('w', id) as token", "'B' as tag")
+    assert len(tagging.LexiconTagger().fit(tagged).tags) == 240_000
+    assert len(tagging.LexiconTagger(5).fit(tagged).tags) == 5
+
+
 def test_labels_join(spark):
     terms = from_list(spark, ["ai research AI"])
     labels = spark.createDataFrame([("AI research", 1), ("ai", 1), ("ai", 0), (" Research ", 1), (None, 1), ("x", None)], "term string, label int")
