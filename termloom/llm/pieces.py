@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm.sentences import Book, units
+from termloom.llm.sentences import settled
 
 FORBIDDEN, INSIDE, SPACE, CLAUSE, SENTENCE, LINE_END, BLANK = -1, 0, 1, 2, 3, 4, 5
 AFTER_SPACE = re.compile(r"\s+")
@@ -34,7 +34,7 @@ def strengths(text: str) -> np.ndarray:
     out = np.zeros(len(text) + 1, dtype=np.int8)
     for pattern, value in ((AFTER_SPACE, SPACE), (AFTER_CLAUSE, CLAUSE)):
         out[[m.end() for m in pattern.finditer(text)]] = value
-    found = units(text, Book())
+    found = settled(text)
     if len(found) > 1:
         out[[a for a, _ in found[1:]]] = SENTENCE
     for m in AFTER_LINES.finditer(text):

@@ -1,39 +1,32 @@
 """Sentence boundaries across languages and scripts, by document-centred disambiguation.
 
-A first pass over all records counts, for short words that stand before a full stop, what follows
-them (a small letter or comma, a number, a capitalised word and which), and for capitalised words
-how often they begin a sentence beyond doubt and how often they stand inside one. From these
-counts comes the *book* of the corpus: abbreviations that go on (what follows is mostly a small
-letter, comma or number), titles (what follows is always capitalised, mostly a name, and never a
-usual sentence beginning), and the usual beginnings. The second pass cuts each document: a doubtful full stop is
-settled by unambiguous occurrences of the same word, or of the word after it, elsewhere in the
-document, and by the book where the document says nothing. Terminators, quotes and spaces follow
-rules of the script: see ``units``.
+One pass over each document counts what its unambiguous occurrences say (``Document``): words that
+stand before a full stop with a small letter, comma or number behind them, the same words without
+a full stop, capitalised words inside a sentence, in small letters, or at a beginning beyond
+doubt. A full stop that these settle is settled by them. Where the document says nothing, the cut
+is kept with a *doubt*; the doubts of all documents are answered by the book of the corpus, the
+sums of the documents' counts, which is joined to them by word: it has no size limit and travels
+to no task. Terminators, quotes and spaces follow rules of the script: see ``units``.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 from bisect import bisect_right
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import pyarrow as pa
-import regex
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termloom.session import written
 
-#: Kept entries of the book's dictionaries, the most frequent first: the size of what is broadcast.
-BOOK_ENTRIES = 50_000
-
-# Abbreviations usual in the languages at hand, a prior where the corpus is small.
-GOING_ON = frozenset("No Nr Vol pp Fig fig Abb e.g i.e approx Approx ca Ca env Env aprox Aprox vs cf Cf vgl ex ej p.ej z.B d.h al рис см т.е т.д ул".split())
-TITLES = frozenset("Dr Prof St Mr Mrs Ms Mme Mlle Sr Sra Dra Hr проф डॉ श्री د".split())
-#: Words after which a German number with a full stop is an ordinal.
-ORDINAL_LEADS = frozenset("am Am vom Vom zum Zum im Im beim der Der die Die das Das den Den dem Dem des Des bis Bis seit Seit ab Ab".split())
+# Abbreviations usual in some languages, and words that lead in a German ordinal ("am 0"), for single texts
+# without a corpus. ``sentence_units`` does not use them.
+USUAL = frozenset("No Nr Vol pp Fig fig Abb e.g i.e approx Approx ca Ca env Env aprox Aprox vs cf Cf vgl ex ej p.ej z.B d.h al рис см т.е т.д ул Dr Prof St Mr Mrs Ms Mme Mlle Sr Sra Dra Hr проф डॉ श्री د".split()) | frozenset(f"{lead} 0" for lead in "am Am vom Vom zum Zum im Im beim der Der die Die das Das den Den dem Dem des Des bis Bis seit Seit ab Ab".split())
 
 STOPS = ".!?…。！？｡؟۔।॥‼⁇⁈⁉"
 FULL_WIDTH = frozenset("。！？｡")
@@ -43,87 +36,168 @@ LINE = re.compile(r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")
 RUN = re.compile(rf"[{STOPS}]+")
 QUOTES = re.compile(r"[(\[{（［【「『«‹)\]}）］】」』»›“”„‘’\"]")
 LIST_MARK = re.compile(r"\s*(?:[-*•·‣▪◦・–]\s*(?=\S)|[(（]\w{1,3}[)）]\s*|\d{1,3}[.)、．]\s*(?!\d)|\d{1,3}[.)]\s+)")
-WORD_BEFORE = re.compile(r"[^\s()\[\]{}（）«»„“”‘’\"「」『』…!?]*\Z")
+#: What stands around a word, as a set of characters.
+AROUND = r"\s()\[\]{}（）«»„“”‘’\"「」『』…!?"
+BREAKS = re.compile(f"[{AROUND}]")
 NEXT_WORD = re.compile(r"[\w\u0300-\u036f]+")
 THAI_GAP = re.compile(r"(?<=[\u0e00-\u0e7f])[ \t\u00a0]+(?=[\u0e00-\u0e7f])")
 ALNUM = re.compile(r"[^\W_]")
 #: Least and greatest length of a line of wrapped text.
 WRAP = (50, 110)
+#: A run of characters longer than this is no abbreviation.
+LONGEST = 100
 #: What may stand between a terminator and the closer behind it.
-BETWEEN = " \u00a0\u202f\n\r" + "".join(CLOSERS)
+ONLY_BETWEEN = re.compile("[ \u00a0\u202f\n\r" + re.escape("".join(sorted(CLOSERS))) + "]*")
+NOT_SPACE = re.compile(r"\S")
+THAI = re.compile(r"[\u0e00-\u0e7f]")
 DASHES = frozenset("—–-―")
 
 
-@dataclass
-class Book:
-    """What the corpus says about abbreviations and sentence beginnings."""
-
-    going_on: frozenset[str] = GOING_ON
-    titles: frozenset[str] = TITLES
-    starters: frozenset[str] = frozenset()
-
-
-@dataclass
-class Evidence:
-    """What the document itself says, looked up when a doubt needs it."""
-
-    text: str
-    goes_on: dict[str, bool] = field(default_factory=dict)
-    plain: dict[str, bool | None] = field(default_factory=dict)
-
-    def abbreviation(self, word: str) -> bool:
-        """Whether ``word.`` is followed by a small letter or a comma somewhere in the document."""
-        known = self.goes_on.get(word)
-        if known is None:
-            known, text, at = False, self.text, -1
-            while (at := text.find(word + ".", at + 1)) >= 0:
-                after = at + len(word) + 1
-                if at and (text[at - 1].isalnum() or text[at - 1] in "._"):
-                    continue
-                if text[after : after + 1] in (",", ";") or (text[after : after + 1] == " " and text[after + 1 : after + 2].islower() and not text[after + 2 : after + 3].isupper()):
-                    known = True
-                    break
-            self.goes_on[word] = known
-        return known
-
-    def common(self, word: str) -> bool | None:
-        """True if the document has the capitalised ``word`` in small letters, False if inside a sentence, else None."""
-        if word not in self.plain:
-            verdict: bool | None = None
-            if re.search(rf"(?<!\w){re.escape(word[0].lower() + word[1:])}(?!\w)", self.text):
-                verdict = True
-            elif re.search(rf"(?<=[^\W\d_A-Z] ){re.escape(word)}(?!\w)", self.text):
-                verdict = False
-            self.plain[word] = verdict
-        return self.plain[word]
+def _letters(kind: str) -> str:
+    """All characters for which the str method ``kind`` holds, as ranges of a set."""
+    has = getattr(str, kind)
+    out, start = [], -1
+    for code in range(sys.maxunicode + 2):
+        if code <= sys.maxunicode and has(chr(code)):
+            start = code if start < 0 else start
+        elif start >= 0:
+            out.append(f"{chr(start)}-{chr(code - 1)}")
+            start = -1
+    return "".join(out)
+
+
+UPPER, LOWER = _letters("isupper"), _letters("islower")
+WORDS = re.compile(r"\w+")
+INSIDE = re.compile(rf"(?<=[{LOWER},;] )([{UPPER}]\w*+)(\.?)")
+BEGINNING = re.compile(rf"(?:\A|\n\s*\n|[!?…] )\s*+[«“„‘\"¿¡(\[]*([{UPPER}]\w*)")
+BEFORE_STOP = re.compile(rf"(?<![^{AROUND},;])([^{AROUND},;.]++(?:\.[^{AROUND},;.]++)*+)\.(?:(?=([,;:)]))|(?=(\s+)[«“„‘\"¿¡(\[]*+(\w*))|\Z)")
+
+# Letters without which a word cannot be spoken.
+VOWELS = "aeiouyàáâãäåæèéêëìíîïòóôõöøùúûüýÿœаеёиоуыэюяіїєαεηιουω"
+
+#: What is known of a word: COMMON begins sentences, NAME stands capitalised inside them.
+COMMON, NAME = 1, 2
+#: Counters of the corpus for each word, as ``Document.counts`` gives them.
+COUNTERS = ("inner", "number", "final", "plain", "named", "usual", "open", "start", "inside", "ordinal")
+
+
+class Document:
+    """What the unambiguous occurrences of a document's words say, from one pass over it."""
+
+    def __init__(self, text: str) -> None:
+        self.words = Counter(WORDS.findall(text))
+        inside = Counter(INSIDE.findall(text))
+        self.inside: Counter = Counter()
+        for (word, _), n in inside.items():
+            self.inside[word] += n
+        self.starts = Counter(BEGINNING.findall(text))
+        self.ordinals: Counter = Counter()
+        self.before: dict[str, list[int]] = defaultdict(lambda: [0] * 3)  # inner, number, final
+        self.followed: list[tuple[str, str]] = []
+        stops: Counter = Counter()
+        for m in BEFORE_STOP.finditer(text):
+            word, comma, gap, following = m.groups("")
+            if len(word) > LONGEST:
+                continue
+            if word.isdigit():
+                if len(word) <= 2 and following[:1].isupper() and text[m.start() - 1 : m.start()] == " ":
+                    self.ordinals[following] += 1
+                continue
+            stops[word] += 1
+            if not comma and (not gap or gap.count("\n") > 1):
+                self.before[word][2] += 1
+            elif following[:1].isupper():
+                self.followed.append((word, following))
+            elif "\n" in gap:
+                continue  # the line may end a heading or be wrapped
+            elif comma or following.islower():
+                self.before[word][0] += 1
+            elif following[:1].isdigit():
+                self.before[word][1] += 1
+        # a capitalised word that may begin a sentence is no other use of an abbreviation
+        self.plain = {word: n for word, k in stops.items() if (n := inside.get((word, ""), 0) if word[0].isupper() else self.words.get(word, 0) - k) > 0}
+        for word, following in self.followed:
+            if self.abbreviation(word) is False:
+                self.starts[following] += 1
+
+    def abbreviation(self, word: str) -> bool | None:
+        """Whether the document shows ``word.`` to go on, or shows ``word`` to be a word; None if neither."""
+        inner, number, final = self.before.get(word, (0, 0, 0))
+        plain = self.plain.get(word, 0)
+        if inner > plain and inner >= final or inner + number >= 2 and not plain and not final:
+            return True
+        return False if plain or final else None
+
+    def kind(self, name: str) -> int:
+        """COMMON if the document has the capitalised word in small letters, NAME if only inside sentences, else 0."""
+        if self.words.get(name[0].lower() + name[1:]):
+            return COMMON
+        return NAME if self.inside.get(name) else 0
+
+    def add_counts(self, total: dict[str, list[int]]) -> None:
+        """Add the document's counts to those of the corpus, by word in the order of COUNTERS."""
+        for word, (inner, number, final) in self.before.items():
+            row = total[word]
+            row[0] += inner
+            row[1] += number
+            row[2] += final
+        for word, n in self.plain.items():
+            total[word][3] += n
+        for word, following in self.followed:
+            kind = self.kind(following)
+            total[word][4 if kind == NAME else 5 if kind == COMMON else 6] += 1
+        for place, words in ((7, self.starts), (8, self.inside), (9, self.ordinals)):
+            for word, n in words.items():
+                total[word][place] += n
+
+
+#: A question to the corpus about a cut: what kind, the word before, the word after, whether the document
+#: shows the first to be an abbreviation, and what it shows of the second.
+Doubt = tuple[str, str, str, int, int]
 
 
 def pairs_of_quotes(text: str, start: int, end: int) -> list[tuple[int, int]]:
     """Outermost matched quotes and brackets of a stretch, as (place of opener, place of closer)."""
     stack: list[tuple[str, int]] = []
+    depth: Counter = Counter()  # of the stack, by closer
     found: list[tuple[int, int]] = []
+
+    def open_(closer: str) -> None:
+        stack.append((closer, at))
+        depth[closer] += 1
+
+    def close(closer: str) -> None:
+        if not depth[closer]:
+            return
+        while True:
+            top, begin = stack.pop()
+            depth[top] -= 1
+            if top == closer:
+                found.append((begin, at))
+                return
+
     for m in QUOTES.finditer(text, start, end):
         c, at = m.group(), m.start()
         if c in OPENERS:
-            stack.append((OPENERS[c], at))
+            open_(OPENERS[c])
         elif c == "„":
-            stack.append(("“", at))
+            open_("“")
         elif c == "“":
-            if any(x == "“" for x, _ in stack):
-                _close(stack, found, "“", at)
+            if depth["“"]:
+                close("“")
             else:
-                stack.append(("”", at))
+                open_("”")
         elif c == "‘":
-            stack.append(("’", at))
+            open_("’")
         elif c == '"':
-            if any(x == '"' for x, _ in stack):
-                _close(stack, found, '"', at)
+            if depth['"']:
+                close('"')
             else:
-                stack.append(('"', at))
+                open_('"')
         else:
             if c == "’" and at and at + 1 < end and text[at - 1].isalnum() and text[at + 1].isalnum():
                 continue
-            _close(stack, found, c, at)
+            close(c)
     found.sort()
     outer: list[tuple[int, int]] = []
     for a, b in found:
@@ -132,14 +206,6 @@ def pairs_of_quotes(text: str, start: int, end: int) -> list[tuple[int, int]]:
     return outer
 
 
-def _close(stack: list[tuple[str, int]], found: list[tuple[int, int]], closer: str, at: int) -> None:
-    for i in range(len(stack) - 1, -1, -1):
-        if stack[i][0] == closer:
-            found.append((stack[i][1], at))
-            del stack[i:]
-            return
-
-
 def _cased(c: str) -> bool:
     return c.islower() or c.isupper()
 
@@ -149,8 +215,8 @@ def _spaceless(c: str) -> bool:
     return "぀" <= c <= "ヿ" or "㐀" <= c <= "鿿" or "豈" <= c <= "﫿" or "฀" <= c <= "໿" or c in "。！？、，；：」』）"
 
 
-def stretches(text: str, book: Book) -> list[tuple[int, int]]:
-    """Parts of the text between breaks of line that end a unit.
+def stretches(text: str, doc: Document) -> list[tuple[int, int, Doubt | None]]:
+    """Parts of the text between breaks of line that end a unit, with the doubt about the break before.
 
     A blank line ends a part. A single break does so unless the text there was wrapped to a width:
     the line has WRAP characters and about as many as the longest such line of its paragraph, is no
@@ -164,45 +230,54 @@ def stretches(text: str, book: Book) -> list[tuple[int, int]]:
         at = m.end()
     lines.append((at, len(text)))
     if len(lines) == 1:
-        return lines
-    out: list[tuple[int, int]] = []
+        return [(0, len(text), None)]
+    out: list[tuple[int, int, Doubt | None]] = []
     paragraph: list[tuple[int, int]] = []
     for s, e in [*lines, (0, 0)]:
         if text[s:e].strip():
             paragraph.append((s, e))
         elif paragraph:
-            _join(text, paragraph, out, book)
+            _join(text, paragraph, out, doc)
             paragraph = []
     return out
 
 
-def _join(text: str, lines: list[tuple[int, int]], out: list[tuple[int, int]], book: Book) -> None:
+def _join(text: str, lines: list[tuple[int, int]], out: list[tuple[int, int, Doubt | None]], doc: Document) -> None:
     """Add the parts of one paragraph, given as its lines."""
     sizes = [len(text[s:e].rstrip()) for s, e in lines]
     longest = max((x for x in sizes if x <= WRAP[1]), default=0)
+    even = longest >= 20 and sizes.count(longest) >= 3
     joins = False  # whether the line before goes on in this one
+    doubt: Doubt | None = None
     for i, (s, e) in enumerate(lines):
         if joins:
-            out[-1] = (out[-1][0], e)
+            out[-1] = (out[-1][0], e, out[-1][2])
         else:
-            out.append((s, e))
-        item = not joins and LIST_MARK.match(text, s, e) is not None
-        joins = False
+            out.append((s, e, doubt))
+        item = not joins and doubt is None and LIST_MARK.match(text, s, e) is not None
+        joins, doubt = False, None
         if i + 1 == len(lines):
             return
         last, following = text[s + sizes[i] - 1], text[lines[i + 1][0] : lines[i + 1][1]].lstrip()
         if _spaceless(last) or _spaceless(following[0]):
-            joins = sizes[i] == longest >= 20 and sizes.count(longest) >= 3 and last not in STOPS and last not in CLOSERS and not item and LIST_MARK.match(following) is None
+            joins = even and sizes[i] == longest and last not in STOPS and last not in CLOSERS and not item and LIST_MARK.match(following) is None
         elif not item and WRAP[0] <= sizes[i] <= WRAP[1] and sizes[i + 1] <= WRAP[1] and sizes[i] >= 0.55 * longest:
             joins = True
             if LIST_MARK.match(following):  # a mark, or a number that an abbreviation leads in
-                before = WORD_BEFORE.search(text[max(s, e - 30) : s + sizes[i] - 1]).group() if last == "." else ""
-                joins = before in book.going_on or last not in STOPS and last not in CLOSERS and following[0].isdigit()
+                joins = last not in STOPS and last not in CLOSERS and following[0].isdigit()
+                word = _word_before(text, s, s + sizes[i] - 1) if last == "." else ""
+                if word:
+                    known = doc.abbreviation(word)
+                    joins = known is True
+                    doubt = ("word", word, "", 0, 0) if known is None else None
 
 
-def units(text: str, book: Book) -> list[tuple[int, int]]:
+def units(text: str, usual: frozenset[str] = frozenset()) -> list[tuple[int, int, Doubt | None]]:
     """The units of a text as half-open ranges: sentences, headings and list items, in order.
 
+    The third member is the doubt about the cut before the unit, None where the document settles
+    it; ``usual`` are abbreviations that go on where the document does not know better.
+
     Inside matched quotes and brackets nothing ends. After a terminator and what closes behind it,
     a unit ends unless a small letter, comma or dash with a small letter follows; a full stop also
     needs that its word is no abbreviation, initial or ordinal there. A quotation that opens a unit
@@ -210,12 +285,30 @@ def units(text: str, book: Book) -> list[tuple[int, int]]:
     if a colon led it in. Full-width stops need no space. Thai ends units at spaces between Thai
     letters. Units are without white space around and hold a letter or digit.
     """
+    out: list[tuple[int, int, Doubt | None]] = []
+    doc = Document(text)
+    _cut(text, doc, usual, out)
+    return out
+
+
+def settled(text: str, usual: frozenset[str] = frozenset()) -> list[tuple[int, int]]:
+    """The units of one text without a corpus: what the document leaves in doubt ends, but for initials and its own abbreviations."""
     out: list[tuple[int, int]] = []
-    doc = Evidence(text)
-    for s, e in stretches(text, book):
-        mark = LIST_MARK.match(text, s, e)
-        begin = s
-        cuts: list[int] = []
+    for start, end, doubt in units(text, usual):
+        if doubt and (doubt[0] == "initial" or doubt[0] == "word" and doubt[3] and doubt[4] != COMMON):
+            out[-1] = (out[-1][0], end)
+        else:
+            out.append((start, end))
+    return out
+
+
+def _cut(text: str, doc: Document, usual: frozenset[str], out: list[tuple[int, int, Doubt | None]]) -> None:
+    sure = 0
+    for s, e, doubt in stretches(text, doc):
+        mark = LIST_MARK.match(text, s, e) if doubt is None else None
+        begin = s  # the unit's first character; ``sure`` is the same if cuts in doubt are none
+        sure = s if doubt is None else sure
+        cuts: list[tuple[int, Doubt | None]] = []
         pairs: list[tuple[int, int]] | None = None
         opens: list[int] = []
         at = mark.end() if mark else s
@@ -230,53 +323,56 @@ def units(text: str, book: Book) -> list[tuple[int, int]]:
             k = bisect_right(opens, m.start()) - 1
             if k >= 0 and pairs[k][1] > m.start():
                 closer = pairs[k][1]
-                if text[at:closer].strip(BETWEEN):
+                if ONLY_BETWEEN.match(text, at, closer).end() < closer:
                     continue
                 end, quote = closer + 1, pairs[k][0]
                 while end < e and text[end] in STOPS:
                     end += 1
             at = end
-            if _ends(text, m.start(), m.end(), end, begin, e, quote, doc, book):
-                cuts.append(end)
+            verdict = _ends(text, m.start(), m.end(), end, begin, sure, e, quote, doc, usual)
+            if verdict is not False:
+                cuts.append((end, None if verdict is True else verdict))
                 begin = end
                 while begin < e and text[begin].isspace():
                     begin += 1
+                sure = begin if verdict is True else sure
         begin = s
-        for cut in [*cuts, e]:
-            if "฀" <= _first_letter(text, begin, cut) <= "໿" or _has_thai(text, begin, cut):
+        for cut, following in [*cuts, (e, None)]:
+            if THAI.search(text, begin, cut):
                 inner = pairs if pairs is not None else pairs_of_quotes(text, begin, cut)
+                starts = [a for a, _ in inner]
                 for gap in THAI_GAP.finditer(text, begin, cut):
-                    if not any(a < gap.start() < b for a, b in inner):
-                        _add(out, text, begin, gap.start())
-                        begin = gap.end()
-            _add(out, text, begin, cut)
-            begin = cut
-    return out
+                    k = bisect_right(starts, gap.start()) - 1
+                    if k < 0 or inner[k][1] <= gap.start():
+                        _add(out, text, begin, gap.start(), doubt)
+                        begin, doubt = gap.end(), None
+            _add(out, text, begin, cut, doubt)
+            begin, doubt = cut, following
 
 
 def _first_letter(text: str, start: int, end: int) -> str:
-    m = ALNUM.search(text, start, min(end, start + 20))
+    m = ALNUM.search(text, start, end)
     return m.group() if m else ""
 
 
-THAI = re.compile(r"[\u0e00-\u0e7f]")
-
-
-def _has_thai(text: str, start: int, end: int) -> bool:
-    return THAI.search(text, start, end) is not None
-
-
-def _add(out: list[tuple[int, int]], text: str, start: int, end: int) -> None:
+def _add(out: list[tuple[int, int, Doubt | None]], text: str, start: int, end: int, doubt: Doubt | None) -> None:
     while start < end and text[start].isspace():
         start += 1
     while end > start and text[end - 1].isspace():
         end -= 1
     if ALNUM.search(text, start, end):
-        out.append((start, end))
+        out.append((start, end, doubt if out else None))
+
+
+def _word_before(text: str, begin: int, stop: int) -> str | None:
+    """The characters before ``stop`` up to what stands around words; None if there are more than LONGEST."""
+    least = max(begin, stop - LONGEST - 1)
+    word = BREAKS.split(text[least:stop])[-1]
+    return None if len(word) > LONGEST else word
 
 
-def _ends(text: str, stop: int, after: int, end: int, begin: int, limit: int, quote: int, doc: Evidence, book: Book) -> bool:
-    """Whether a unit that began at ``begin`` ends at ``end``; its terminators are ``stop:after``."""
+def _ends(text: str, stop: int, after: int, end: int, begin: int, sure: int, limit: int, quote: int, doc: Document, usual: frozenset[str]) -> bool | Doubt:
+    """Whether a unit that began at ``begin`` ends at ``end``, or the doubt about it; its terminators are ``stop:after``."""
     following = end
     while following < limit and text[following].isspace():
         following += 1
@@ -294,9 +390,9 @@ def _ends(text: str, stop: int, after: int, end: int, begin: int, limit: int, qu
         if c == '"' and quote < 0 and text[end - 1] != '"' and run != "." and not text[end : end + 2].strip('"'):
             return False
         if run == ".":
-            word = WORD_BEFORE.search(text, max(begin, stop - 40), stop).group()
-            if len(word) < 2 or not word[-1].islower() or not word[0].isalpha() or "/" in word or "." in word:
-                return quote >= 0 or (c == "[" and len(word) > 1)
+            word = _word_before(text, begin, stop)
+            if word is None or len(word) < 2 or not word[-1].islower() or not word[0].isalpha() or "/" in word or "." in word:
+                return quote >= 0 or (c == "[" and (word is None or len(word) > 1))
     # what follows, past openers
     look = following
     while look < limit and (text[look] in "«“„‘\"'([（「『¿¡‹" or text[look].isspace()):
@@ -321,8 +417,8 @@ def _ends(text: str, stop: int, after: int, end: int, begin: int, limit: int, qu
             lead = quote - 1
             while lead > begin and text[lead].isspace():
                 lead -= 1
-            return text[lead] in ":：," 
-        if opening and name and doc.common(name) is False and name not in book.starters:
+            return text[lead] in ":：,"
+        if opening and name and doc.kind(name) == NAME:
             rest = text[word_after.end() : word_after.end() + 2]
             return not (rest[:1] == " " and rest[1:2].islower())
         return True
@@ -330,160 +426,171 @@ def _ends(text: str, stop: int, after: int, end: int, begin: int, limit: int, qu
         return True
     if end > after:  # closed by a bracket
         return True
-    return not _goes_on(text, stop, begin, c, letter, name, doc, book)
+    return _after_word(text, stop, begin, sure, c, letter, name, doc, usual)
 
 
 def _caseless_letter(c: str) -> bool:
     return c.isalpha() and not _cased(c)
 
 
-def _goes_on(text: str, stop: int, begin: int, c: str, letter: str, name: str, doc: Evidence, book: Book) -> bool:
-    """Whether the single full stop at ``stop`` belongs to an abbreviation, initial or ordinal inside a sentence."""
-    m = WORD_BEFORE.search(text, max(begin, stop - 40), stop)
-    word = m.group()
+def _after_word(text: str, stop: int, begin: int, sure: int, c: str, letter: str, name: str, doc: Document, usual: frozenset[str]) -> bool | Doubt:
+    """Whether the single full stop at ``stop`` ends a unit rather than belonging to an abbreviation, initial or ordinal."""
+    word = _word_before(text, begin, stop)
     if not word:
-        return False
+        return True
     if word.isdigit():
-        lead = text[max(begin, m.start() - 40) : m.start()].rstrip()
-        if not lead:
-            return True  # a list mark
-        before = WORD_BEFORE.search(lead).group()
-        return len(word) <= 2 and letter.isupper() and before in ORDINAL_LEADS
-    known = word in book.going_on or word in GOING_ON
-    title = word in book.titles or word in TITLES
+        if not NOT_SPACE.search(text, sure, stop - len(word)):
+            return False  # a list mark
+        if len(word) > 2 or not letter.isupper() or doc.starts.get(name):
+            return True
+        if usual and f"{BREAKS.split(text[max(sure, stop - LONGEST) : stop - len(word)].rstrip())[-1]} 0" in usual:
+            return False
+        return "number", "", name, 0, 0
+    capital = name[:1].isupper()
     if len(word) == 1 and word.isalpha():
-        if _cased(word):
-            if word.isupper():
-                return len(name) < 2 or not (name in book.starters and doc.common(name) is True)
-            if letter.isdigit():
-                return known or doc.abbreviation(word)
-            return not _starts(name, doc, book)
-        return True
-    if title:
-        return not letter.isdigit()
-    if not known and len(word) <= 6 and not letter.isdigit() and word not in book.starters and _unseen(word, book):
-        known = doc.abbreviation(word)
-    if not known:
-        return False
-    if c in "([" or letter.isdigit():
+        if not _cased(word):
+            return False
+        if letter.isdigit() and word.islower():
+            return _doubted(word, "", 0, doc, usual)
+        if len(name) < 2 or not capital:
+            return False if word.isupper() or capital else bool(name)
+        kind = doc.kind(name)
+        if kind == COMMON:
+            return ("initial", "", name, 0, 0) if word.isupper() else True
+        return False if kind == NAME or word.isupper() else ("initial", "", name, 0, 0)
+    if c in "([" or letter.isdigit() or not name:
+        return _doubted(word, "", 0, doc, usual)
+    return _doubted(word, name, doc.kind(name), doc, usual)
+
+
+def _doubted(word: str, name: str, kind: int, doc: Document, usual: frozenset[str]) -> bool | Doubt:
+    """The same for a word of two or more letters before ``name`` ("" for a number or bracket)."""
+    known = doc.abbreviation(word)
+    if known is None and word in usual:
+        return kind == COMMON
+    if known is False:
         return True
-    return not _starts(name, doc, book)
+    if known and (not name or kind):
+        return kind == COMMON
+    return ("word", word, name, int(bool(known)), kind)
 
 
-def _unseen(word: str, book: Book) -> bool:
-    """Whether a word looks like an abbreviation: it has inner full stops, or no vowel to speak of."""
-    return "." in word or not any(v in word.lower() for v in "aeiouyаеёиоуыэюяäöüéè")
-
+# --- the book of the corpus -------------------------------------------------------------------
 
-def _starts(name: str, doc: Evidence, book: Book) -> bool:
-    """Whether a capitalised word begins a sentence rather than being a name."""
-    if not name or not name[0].isupper():
-        return bool(name) and not name[0].isdigit()
-    if name in book.starters:
-        return True
-    return doc.common(name) is True
+COLUMNS = ("rec", "doc_id", "chain", "size", "k", "start_pos", "end_pos", "doubt", "word", "name", "known", "kind", *COUNTERS)
+#: Distinct words whose counts a task holds before it hands them on.
+HELD = 200_000
 
 
-# --- the book of the corpus -------------------------------------------------------------------
+def cut_and_count(texts: DataFrame) -> DataFrame:
+    """The candidate units of all texts, and their counts for the book, from one pass.
 
-BEFORE_STOP = regex.compile(r"(?<![^\s(\[«“„\"‘'¿¡])([\p{L}\p{M}]{1,6}(?:\.[\p{L}\p{M}]{1,2})*)\.(?=\s+[«“„\"‘¿¡(\[]*([\p{L}\p{M}\p{N}_]+)|([,;]))")
-AT_START = regex.compile(r"(?:^|[!?…]\s+|\p{L}{5}\.\s+|\n)[\"“«„‘¿¡\[( ]*(\p{Lu}[\p{L}\p{M}]*)")
-INSIDE = regex.compile(r"(?<=[\p{Ll},] )(\p{Lu}[\p{L}\p{M}]*)")
-
-
-def count_evidence(text: str, counts: Counter) -> None:
-    """Add a text's evidence: ('stop', word, class), ('pair', word, next word), ('start' | 'inside', word, '')."""
-    for m in BEFORE_STOP.finditer(text):
-        word, following, comma = m.groups()
-        if comma:
-            counts["stop", word, "small"] += 1
-        elif following[0].isdigit():
-            counts["stop", word, "number"] += 1
-        elif following[0].islower():
-            if following.islower():
-                counts["stop", word, "small"] += 1
-        elif following[0].isupper():
-            counts["pair", word, following[:24]] += 1
-        else:
-            counts["stop", word, "other"] += 1
-    for m in AT_START.finditer(text):
-        counts["start", m.group(1)[:24], ""] += 1
-    for m in INSIDE.finditer(text):
-        counts["inside", m.group(1)[:24], ""] += 1
+    Rows with a ``rec`` are units: units linked by doubts make a chain of ``size``, ``k`` is the
+    place in it, and ``doubt, word, name, known, kind`` is the doubt about the cut before. Rows
+    without are counts of ``word``.
+    """
+    key = texts.schema["doc_id"].dataType.simpleString()
+    schema = f"rec long, doc_id {key}, chain int, size int, k int, start_pos int, end_pos int, doubt string, word string, name string, known int, kind int, " + ", ".join(f"{c} long" for c in COUNTERS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[str, list[int]] = defaultdict(lambda: [0] * len(COUNTERS))
+        number = TaskContext.get().partitionId() << 36
+        doc_type = None
+
+        def out(owner: pa.Array, columns: list[list]) -> pa.RecordBatch:
+            n = len(columns[0])
+            rec, chain, size, k, start, end, doubts = columns
+            asked = list(zip(*(d or (None,) * 5 for d in doubts))) if n else [()] * 5
+            kinds = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32())
+            fields = [pa.array(rec, pa.int64()), owner, *(pa.array(x, pa.int32()) for x in (chain, size, k, start, end)), *(pa.array(x, t) for x, t in zip(asked, kinds))]
+            return pa.RecordBatch.from_arrays([*fields, *(pa.nulls(n, pa.int64()) for _ in COUNTERS)], names=list(COLUMNS))
+
+        def out_counts() -> pa.RecordBatch:
+            words, n = list(counts), len(counts)
+            rows = list(zip(*counts.values())) if n else [()] * len(COUNTERS)
+            empty = [pa.nulls(n, pa.int64()), pa.nulls(n, doc_type), *(pa.nulls(n, pa.int32()) for _ in range(5)), pa.nulls(n, pa.string()), pa.array(words, pa.string()), pa.nulls(n, pa.string()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32())]
+            counts.clear()
+            return pa.RecordBatch.from_arrays([*empty, *(pa.array(x, pa.int64()) for x in rows)], names=list(COLUMNS))
 
+        for batch in batches:
+            doc_type = batch.column(0).type
+            owner: list[int] = []
+            columns: list[list] = [[] for _ in range(7)]
+            for row, text in enumerate(batch.column(1).to_pylist()):
+                found: list[tuple[int, int, Doubt | None]] = []
+                doc = Document(text)
+                doc.add_counts(counts)
+                _cut(text, doc, frozenset(), found)
+                heads = [i for i, (_, _, d) in enumerate(found) if d is None]
+                for chain, (i, j) in enumerate(zip(heads, [*heads[1:], len(found)])):
+                    for k in range(i, j):
+                        for column, value in zip(columns, (number, chain, j - i, k - i, *found[k])):
+                            column.append(value)
+                owner += [row] * len(found)
+                number += 1
+            yield out(batch.column(0).take(pa.array(owner, pa.int64())), columns)
+            if len(counts) > HELD:
+                yield out_counts()
+        if counts:
+            yield out_counts()
 
-def evidence(texts: DataFrame) -> DataFrame:
-    """``(kind, word, other, n)``: the evidence of all texts, added up."""
+    return texts.select("doc_id", "text").mapInArrow(run, schema)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
 
-        def out() -> pa.RecordBatch:
-            kind, word, other = zip(*counts) if counts else ((), (), ())
-            batch = pa.RecordBatch.from_arrays([pa.array(kind, pa.string()), pa.array(word, pa.string()), pa.array(other, pa.string()), pa.array(list(counts.values()), pa.int64())], names=["kind", "word", "other", "n"])
-            counts.clear()
-            return batch
+def book_of(found: DataFrame, least: int = 8) -> DataFrame:
+    """``word, role, starter, ordinal`` from the counts in ``found``.
 
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                if text:
-                    count_evidence(text, counts)
-            if len(counts) > 200_000:
-                yield out()
-        yield out()
-
-    partial = texts.select("text").mapInArrow(count, "kind string, word string, other string, n long")
-    return partial.groupBy("kind", "word", "other").agg(F.sum("n").alias("n"))
-
-
-def book_of(counts: DataFrame, least: int = 8) -> Book:
-    """The book from ``evidence``: at most BOOK_ENTRIES words a list, the most frequent first."""
-    words = counts.where("kind in ('start', 'inside')").groupBy("word").agg(F.sum(F.when(F.col("kind") == "start", F.col("n")).otherwise(0)).alias("start"), F.sum(F.when(F.col("kind") == "inside", F.col("n")).otherwise(0)).alias("inside"))
-    starters = words.where("start >= 3 and inside <= 0.05 * (start + inside)")
-    kind = F.when((F.col("start") >= 3) & (F.col("inside") <= 0.05 * (F.col("start") + F.col("inside"))), "usual").when(F.col("inside") > 0.05 * (F.col("start") + F.col("inside")), "name")
-    pairs = counts.where("kind = 'pair'").select("word", "other", "n").join(words.select(F.col("word").alias("other"), kind.alias("is")), "other", "left")
-    after = pairs.groupBy("word").agg(F.sum("n").alias("capital"), *(F.sum(F.when(F.col("is") == k, F.col("n")).otherwise(0)).alias(k) for k in ("usual", "name")))
-    stops = counts.where("kind = 'stop'").groupBy("word").agg(F.sum(F.when(F.col("other").isin("small", "number"), F.col("n")).otherwise(0)).alias("inner"), F.sum(F.when(F.col("other") == "other", F.col("n")).otherwise(0)).alias("other"))
-    seen = stops.join(after, "word", "full").na.fill(0)
-    total = F.col("inner") + F.col("other") + F.col("capital")
-    kinds = seen.withColumn("total", total).withColumn(
-        "kind",
-        F.when((F.col("total") >= least) & (F.col("inner") >= 0.5 * F.col("total")), "going_on").when((F.col("total") >= least) & (F.col("capital") >= 0.8 * F.col("total")) & (F.col("usual") <= 0.05 * F.col("capital")) & (F.col("name") >= 0.5 * F.col("capital")), "title"),
+    ``role``: 'word' if it stands without a full stop more often than with one; 'going_on' if a
+    small letter, comma or number mostly follows; 'title' if a capitalised word follows that is
+    seldom a common one, and the word hardly ever ends a paragraph or stands without a full stop
+    and has names behind it or no vowel; null for what is seen less than ``least`` times or settled by none of these. ``starter``: usual at beginnings beyond doubt, seldom inside. ``ordinal``: follows a
+    number with a full stop more often than it begins.
+    """
+    unspoken = ~F.lower("word").rlike(f"[{VOWELS}]")
+    sums = found.where("rec is null").groupBy("word").agg(*(F.sum(c).alias(c) for c in COUNTERS))
+    capital = F.col("named") + F.col("usual") + F.col("open")
+    total = F.col("inner") + F.col("number") + F.col("final") + capital
+    role = (
+        F.when((total > 0) & (F.col("plain") > total), "word")
+        .when((total >= least) & (F.col("inner") + F.col("number") >= 0.5 * total), "going_on")
+        .when((total >= least) & (capital >= 0.8 * total) & (F.col("usual") <= 0.05 * capital) & (F.col("final") + F.col("plain") <= 0.05 * total) & ((F.col("named") >= 0.02 * capital) | unspoken), "title")
     )
-    chosen = kinds.where("kind is not null").select("kind", "word", F.col("total").alias("n"))
-    lists: dict[str, frozenset[str]] = {}
-    for kind, rows in (("starters", starters.select("word", F.col("start").alias("n"))), ("going_on", chosen.where("kind = 'going_on'")), ("title", chosen.where("kind = 'title'"))):
-        top = rows.orderBy(F.col("n").desc(), "word").select("word").limit(BOOK_ENTRIES)
-        lists[kind] = frozenset(r[0] for r in top.collect())
-    return Book(lists["going_on"] | GOING_ON, lists["title"] | TITLES, lists["starters"])
+    starter = (F.col("start") >= 3) & (F.col("inside") <= 0.05 * (F.col("start") + F.col("inside")))
+    ordinal = (F.col("ordinal") >= least) & (F.col("start") <= 0.05 * F.col("ordinal"))
+    return sums.select("word", role.alias("role"), starter.alias("starter"), ordinal.alias("ordinal"))
 
 
-def sentence_units(records: DataFrame) -> DataFrame:
+def goes_on(doubt: Column, known: Column, kind: Column, name: Column, role: Column, starter: Column, ordinal: Column) -> Column:
+    """The corpus' answer to a doubt: whether the unit goes on past the cut."""
+    common = (kind == COMMON) | ((kind == 0) & starter)
+    by_word = F.when((known == 1) | (role == "going_on"), ~common).when(role == "title", (name != "") & ~(starter & (kind != NAME))).otherwise(False)
+    return F.when(doubt == "number", ordinal).when(doubt == "initial", ~starter).otherwise(by_word)
+
+
+def sentence_units(records: DataFrame, salts: int = 16) -> DataFrame:
     """``doc_id, unit_no, start_pos, end_pos`` for every unit of ``records(doc_id, text)``, in order.
 
     Offsets are half-open, in code points. A null, empty or blank text, or one without a letter or
     digit, has no units. Repeated rows are cut each for itself. Whole texts of any length are cut;
-    other columns are ignored. The book is made from all texts given.
+    other columns are ignored. Doubts are answered from all texts given: by distinct question, so
+    a frequent one is asked once, and its answer goes back in ``salts`` copies.
     """
-    texts = written(records.where(F.col("text").isNotNull()).select("doc_id", "text"), "texts")
-    counts = written(evidence(texts), "evidence")
-    book = texts.sparkSession.sparkContext.broadcast(book_of(counts))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            owner: list[int] = []
-            number: list[int] = []
-            start: list[int] = []
-            end: list[int] = []
-            for row, text in enumerate(batch.column(1).to_pylist()):
-                found = units(text, book.value)
-                owner += [row] * len(found)
-                number += range(len(found))
-                start += [a for a, _ in found]
-                end += [b for _, b in found]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(owner, pa.int64())), pa.array(number, pa.int32()), pa.array(start, pa.int32()), pa.array(end, pa.int32())],
-                names=["doc_id", "unit_no", "start_pos", "end_pos"],
-            )
-
-    return texts.mapInArrow(cut, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, unit_no int, start_pos int, end_pos int")
+    found = written(cut_and_count(records.where(F.col("text").isNotNull()).select("doc_id", "text")), "units")
+    book = book_of(found)
+    rows = found.where("rec is not null").select("rec", "doc_id", "chain", "size", "k", "start_pos", "end_pos", "doubt", "word", "name", "known", "kind")
+    question = ["doubt", "word", "name", "known", "kind"]
+    asked = rows.where("doubt is not null").select(*question).distinct()
+    by_word = book.select("word", "role")
+    by_name = book.select(F.col("word").alias("name"), "starter", "ordinal")
+    answers = asked.join(by_word, "word", "left").join(by_name, "name", "left")
+    no = F.lit(False)
+    on = goes_on(F.col("doubt"), F.col("known"), F.col("kind"), F.col("name"), F.coalesce("role", F.lit("")), F.coalesce("starter", no), F.coalesce("ordinal", no))
+    yes = answers.where(on).select(*question, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(True).alias("on"))
+    linked = rows.where("size > 1").withColumn("salt", F.pmod(F.col("rec"), F.lit(salts)).cast("int")).join(yes, [*question, "salt"], "left")
+    order = Window.partitionBy("rec", "chain").orderBy("k")
+    islands = linked.withColumn("island", F.sum(F.when(F.col("on"), 0).otherwise(1)).over(order))
+    whole = islands.groupBy("rec", "chain", "island").agg(F.first("doc_id").alias("doc_id"), F.min("start_pos").alias("start_pos"), F.max("end_pos").alias("end_pos"))
+    columns = ["rec", "doc_id", "start_pos", "end_pos"]
+    every = rows.where("size = 1").select(*columns).unionByName(whole.select(*columns))
+    numbered = every.withColumn("unit_no", (F.row_number().over(Window.partitionBy("rec").orderBy("start_pos")) - 1).cast("int"))
+    return numbered.select("doc_id", "unit_no", "start_pos", "end_pos")

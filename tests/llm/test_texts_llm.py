@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from termloom.llm.mixing import mix_sources
 from termloom.llm.pieces import StrongestCut, split_oversized, split_text, strengths
 from termloom.llm.repetition import repeated_characters, repetition, repetition_shares, window_hashes
-from termloom.llm.sentences import Book, sentence_units, units
+
+from termloom.llm.sentences import USUAL, Document, sentence_units, settled
 from termloom.llm.tokenizer import Encoder, encode_texts, merge, read_ranks, vocabulary
 
 ODD = ["", " ", "a", "naïve café", "中文。分かち書き", "é" * 40, "\U0001f600\U0001f9ea" * 30, "<|endoftext|> x", "x" * 4000, "a\r\n\r\nb\tc  \n", "don't we'll I'VE 12345 ½²", "‍​﻿", "\x00\x01", "https://a.b/c?d=e&f"]
@@ -82,26 +83,77 @@ CASES = [
 
 @pytest.mark.parametrize("text, wanted", CASES)
 def test_units(text, wanted):
-    assert [text[a:b] for a, b in units(text, Book())] == wanted
+    assert [text[a:b] for a, b in settled(text, USUAL)] == wanted
 
 
 def test_wrapped_lines_are_joined():
     text = "The unit at the gate keeps five coarse samples of the old taevox in\nthe cellar. It was cold there, and nobody asked for it, see Vol. 3 and\nFig. 4 of the notes.\n\nNext one."
-    assert len(units(text, Book())) == 3
+    assert len(settled(text, USUAL)) == 3
 
 
 def test_the_document_settles_doubts():
     text = "Reg. x is old, reg. y new. It is in xyz. Nobody came. The xqz. of it, xqz. and more. See xqz. Kim there."
-    found = [text[a:b] for a, b in units(text, Book())]
+    found = [text[a:b] for a, b in settled(text, USUAL)]
     assert found[-1] == "See xqz. Kim there." and "It is in xyz." in found
 
 
+def planted(name):
+    """A text whose abbreviation stands in no list, shown by its own small-letter occurrences alone."""
+    return f"The qorvex. unit is old, the qorvex. unit is cold. Then {name} came by, and {name} slept. They saw qorvex. {name} there. Nobody stayed in the vat. Few saw the vat and left."
+
+
+def test_abbreviations_of_the_document_alone(spark, monkeypatch):
+    text = planted("Hulm")
+    wanted = ["The qorvex. unit is old, the qorvex. unit is cold.", "Then Hulm came by, and Hulm slept.", "They saw qorvex. Hulm there.", "Nobody stayed in the vat.", "Few saw the vat and left."]
+    assert [text[a:b] for a, b in settled(text)] == wanted
+    df = spark.createDataFrame([("a", text)], "doc_id string, text string")
+    assert [text[r["start_pos"] : r["end_pos"]] for r in sentence_units(df).orderBy("unit_no").collect()] == wanted
+    monkeypatch.setattr(Document, "abbreviation", lambda self, word: None)
+    monkeypatch.setattr(Document, "kind", lambda self, name: 0)
+    assert [text[a:b] for a, b in settled(text)] != wanted
+
+
+def test_the_corpus_answers_what_the_document_leaves_open(spark):
+    # "zot." is a title and "vor." goes on before numbers in the corpus; single documents show neither
+    names = ["Arvin", "Belka", "Corto", "Delph", "Ervig", "Fanto", "Gorim", "Halva", "Irgon", "Jasko"]
+    rows = [(f"d{i}", f"We met zot. {n} at noon. It was in vor. 5 of the list. Rain fell on the list. In the end we saw {n} go.") for i, n in enumerate(names)]
+    rows.append(("lone", "He met zot. Quill again."))
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    got = {}
+    for r in sentence_units(df).orderBy("doc_id", "unit_no").collect():
+        got.setdefault(r["doc_id"], []).append((r["start_pos"], r["end_pos"]))
+    for d, text in rows[:-1]:
+        assert [text[a:b] for a, b in got[d]][:2] == [text[: text.index(" It was")], "It was in vor. 5 of the list."]
+    assert len(got["lone"]) == 1
+    alone = df.where("doc_id = 'lone'")
+    assert sentence_units(alone).count() == 2
+
+
+def test_a_word_of_any_length_counts_as_a_beginning(spark):
+    long = "Donaudampfschifffahrtsgesellschaftskapitän"
+    rows = [(f"d{i}", f"Was it so? {long} ist da, vgl. x und vgl. yax. Es war vgl. {long} kam.") for i in range(5)]
+    assert all(n == 4 for n in (sum(1 for r in sentence_units(spark.createDataFrame(rows, "doc_id string, text string")).collect() if r["doc_id"] == d) for d, _ in rows[:1]))
+
+
+def test_long_lines_take_time_in_proportion():
+    import time
+
+    text = " ".join(f"Word{i % 997} qq{i}x. Kim{i % 313} went to b{i}. Sa{i % 77}" for i in range(12_000))
+    began = time.process_time()
+    assert len(text) > 500_000 and len(settled(text)) > 20_000
+    assert time.process_time() - began < 3
+    for odd in ("A." * 100_000, "(" * 100_000 + '" a. B ' * 10_000, '"' + "Ab. Cd. " * 30_000 + '"'):
+        began = time.process_time()
+        settled(odd)
+        assert time.process_time() - began < 5
+
+
 def test_units_keep_order_and_lose_no_letters(spark):
     rng = random.Random(3)
     for _ in range(300):
         text = "".join(rng.choice(["a", "Bc", ". ", "! ", "\n", "\n\n", '"', "«", "»", "(", ")", " ", "。", "中", "ก ", "3", "Dr. ", "…", "\r\n", "- ", "“", "”", "2. "]) for _ in range(rng.randrange(60)))
         at = 0
-        for a, b in units(text, Book()):
+        for a, b in settled(text, USUAL):
             assert at <= a < b and not text[a].isspace() and not text[b - 1].isspace()
             assert not any(c.isalnum() for c in text[at:a])
             at = b
