@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from termloom.llm import heavy_items, rank_walk, vertical
-from termloom.llm.distinctive import distinctive_terms, outstanding_terms, parsimonious_z
+from termloom.llm.distinctive import Models, distinctive_terms, outstanding_terms, parsimonious
 from termloom.llm.heavy_items import code_words, decode_word, frequent_items
 from termloom.llm.rank_walk import rank_terms
 from termloom.llm.top_groups import read_top, top_n_per_group
@@ -58,7 +58,7 @@ def test_top_n_of_nothing(spark):
 
 # --- problem 3
 
-def test_fixed_point_is_that_of_em():
+def test_em_converges_to_its_fixed_point():
     rng = np.random.default_rng(0)
     for own in (0.1, 0.5, 0.9):
         sizes = [1, 2, 40, 7]
@@ -66,7 +66,7 @@ def test_fixed_point_is_that_of_em():
         n = rng.integers(1, 30, sum(sizes)).astype(float)
         q = rng.random(sum(sizes)) ** 4 / 10
         t = rng.integers(1, 4, sum(sizes)).astype(float)
-        z = parsimonious_z(starts, n, q, t, own)
+        converged, z = parsimonious(starts, n, q, t, own)
         odds = (1 - own) / own
         for s, k, zz in zip(starts, sizes, z):
             part = slice(s, s + k)
@@ -74,8 +74,52 @@ def test_fixed_point_is_that_of_em():
             for _ in range(30_000):
                 e = n[part] * p / (odds * q[part] + p)
                 p = e / (e * t[part]).sum()
-            closed = np.maximum(0, n[part] / zz - odds * q[part])
-            assert np.allclose(p, closed, atol=1e-4) and math.isclose((closed * t[part]).sum(), 1.0)
+            assert np.allclose(p, converged[part], atol=1e-4) and math.isclose((converged[part] * t[part]).sum(), 1.0)
+            assert np.allclose(p, np.maximum(0, n[part] / zz - odds * q[part]), atol=1e-4)
+
+
+def chunk_of(rows, records, pairs):
+    docs, freq, df, times = zip(*rows)
+    return pa.table({"doc_id": docs, "freq": freq, "df": df, "times": times, "records": [float(records)] * len(rows), "pairs": [float(pairs)] * len(rows)})
+
+
+def test_the_model_leads_to_the_outstanding_terms():
+    # a term of every record has the greatest count of each; only EM takes its mass away
+    rng = np.random.default_rng(12)
+    rows, wanted = [], 0
+    for d in range(300):
+        rows.append((f"d{d:03}", 35, 300, 1))
+        rows.append((f"d{d:03}", 30, 1, 1))
+        rows += [(f"d{d:03}", int(f), int(k), 1) for f, k in zip(rng.integers(1, 4, 20), rng.integers(2, 200, 20))]
+        wanted += 1
+    rows.sort(key=lambda r: r[0])
+    chunk = chunk_of(rows, 300, 300 * 22)
+
+    def first_of_model(steps):
+        models = Models(chunk, 0.1, steps)
+        owner = np.repeat(np.arange(300), models.lengths)
+        first = np.lexsort((-models.p, owner))[models.starts]
+        return int(sum(models.df[first] == 1))
+
+    assert first_of_model(1000) == wanted and first_of_model(0) == 0
+    assert len(Models(chunk, 0.1, 1000).outstanding(2.03)) == wanted
+
+
+def test_the_walk_down_the_model_ends_early_and_misses_nothing(monkeypatch):
+    rng = np.random.default_rng(13)
+    rows = [(f"d{d:03}", int(f), int(k), int(t)) for d in range(400) for f, k, t in zip(rng.pareto(0.8, 30).astype(int) + 1, rng.integers(1, 90, 30) ** 2 // 20 + 1, rng.integers(1, 3, 30))]
+    chunk = chunk_of(rows, 400, 400 * 45)
+    models = Models(chunk, 0.1, 1000)
+    got = set(models.outstanding(2.03).tolist())
+    whole = set()
+    for s, k in zip(models.starts, models.lengths):
+        part = np.arange(s, s + k)
+        weight = models.freq[part] / (models.freq[part] * models.times[part]).sum() * np.log(400 / (1 + models.df[part]))
+        top = int(weight.argmax())
+        others = np.delete(weight, top).max() if models.times[part[top]] == 1 else weight[top]
+        if weight[top] > 0 and weight[top] >= 2.03 * others:
+            whole.add(int(part[top]))
+    assert got == whole and len(whole) > 20
 
 
 def brute_outstanding(rows, ratio=2.03):
