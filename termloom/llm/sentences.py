@@ -589,7 +589,7 @@ def sentence_units(records: DataFrame, salts: int = 16) -> DataFrame:
     linked = rows.where("size > 1").withColumn("salt", F.pmod(F.col("rec"), F.lit(salts)).cast("int")).join(yes, [*question, "salt"], "left")
     order = Window.partitionBy("rec", "chain").orderBy("k")
     islands = linked.withColumn("island", F.sum(F.when(F.col("on"), 0).otherwise(1)).over(order))
-    whole = islands.groupBy("rec", "chain", "island").agg(F.first("doc_id").alias("doc_id"), F.min("start_pos").alias("start_pos"), F.max("end_pos").alias("end_pos"))
+    whole = islands.groupBy("rec", "doc_id", "chain", "island").agg(F.min("start_pos").alias("start_pos"), F.max("end_pos").alias("end_pos"))
     columns = ["rec", "doc_id", "start_pos", "end_pos"]
     every = rows.where("size = 1").select(*columns).unionByName(whole.select(*columns))
     numbered = every.withColumn("unit_no", (F.row_number().over(Window.partitionBy("rec").orderBy("start_pos")) - 1).cast("int"))
