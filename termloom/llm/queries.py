@@ -16,7 +16,7 @@ from termloom.llm.repetition import repetition_shares
 from termloom.llm.sentences import sentence_units
 from termloom.llm.tokenizer import encode_texts
 from termloom.llm.top_groups import top_n_per_group
-from termloom.llm.vertical import frequencies, layout_of_texts, layout_of_values, marked
+from termloom.llm.vertical import frequencies, layout_of_texts, layout_of_values, marked, numbered
 from termloom.sources.tables import records_in_force, scores_in_force, table
 
 
@@ -58,15 +58,17 @@ WORD_LANGS = ["en", "fr", "de", "es", "ru"]
 
 def _word_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     corpus = table(spark, sf_dir, "processed_corpus")
-    texts = records_in_force(corpus, "lang", "text").where(F.col("lang").isin(WORD_LANGS))
-    total = records_in_force(corpus, "lang").where(F.col("lang").isin(WORD_LANGS)).agg(F.count(F.lit(1)).alias("n_records"))
-    return marked(frequencies(layout_of_texts(texts)), total).select(F.lit("text").alias("field_name"), "item", "occurrences", "records", "mark")
+    numbers = numbered(records_in_force(corpus, "lang").where(F.col("lang").isin(WORD_LANGS)), "doc_id")
+    texts = records_in_force(corpus, "lang", "text").where(F.col("lang").isin(WORD_LANGS)).select(F.col("doc_id").alias("record"), "text")
+    total = numbers.agg(F.count(F.lit(1)).alias("n_records"))
+    return marked(frequencies(layout_of_texts(texts, numbers)), total).select(F.lit("text").alias("field_name"), "item", "occurrences", "records", "mark")
 
 
 def _term_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "terms").where("doc_id is not null and term is not null").select(F.col("doc_id").alias("record"), F.col("term").alias("item"))
-    total = rows.agg(F.count_distinct("record").alias("n_records"))
-    return marked(frequencies(layout_of_values(rows)), total).select(F.lit("term").alias("field_name"), "item", "occurrences", "records", "mark")
+    numbers = numbered(rows, "record")
+    total = numbers.agg(F.count(F.lit(1)).alias("n_records"))
+    return marked(frequencies(layout_of_values(rows, numbers)), total).select(F.lit("term").alias("field_name"), "item", "occurrences", "records", "mark")
 
 
 def p6_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,12 +8,12 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from termloom.llm import heavy_items, rank_walk, vertical
+from termloom.llm import heavy_items, rank_walk
 from termloom.llm.distinctive import Models, distinctive_terms, outstanding_terms, parsimonious
 from termloom.llm.heavy_items import code_words, decode_word, frequent_items
 from termloom.llm.rank_walk import rank_terms
 from termloom.llm.top_groups import read_top, top_n_per_group
-from termloom.llm.vertical import cardinality, frequencies, layout_of_texts, layout_of_values, marked, pack, union, unpack
+from termloom.llm.vertical import NAMES, Builder, cardinality, frequencies, layout_of_texts, layout_of_values, marked, numbered, pack, union, united, unpack
 
 NAN = float("nan")
 
@@ -203,41 +203,80 @@ def test_containers():
         assert unpack(both).tolist() == sorted({*x.tolist(), *y.tolist()}) and cardinality(both) == len({*x.tolist(), *y.tolist()})
 
 
-@pytest.mark.parametrize("records, pairs", [(1 << 16, 1 << 21), (7, 50)])
-def test_frequencies(spark, monkeypatch, records, pairs):
-    # executors import the module afresh, so the small sizes are tried on a chunk directly
+def test_containers_of_a_batch_are_united():
+    rng = np.random.default_rng(8)
+    rows, wanted = [], {}
+    for item, key, sizes in (("a", 0, (3, 5, 9)), ("a", 1, (5000, 10)), ("b", 0, (1,)), ("b", 7, (3000, 3000)), ("c", 0, (40000, 6000, 2)), ("d", 2, (0, 4))):
+        for k in sizes:
+            numbers = np.sort(rng.choice(65536, k, replace=False))
+            rows.append((item, key, k + 1, k, pack(numbers)))
+            wanted.setdefault((item, key), [0, set()])
+            wanted[item, key][0] += k + 1
+            wanted[item, key][1] |= set(numbers.tolist())
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=NAMES)
+    for part in (batch, batch.slice(2), batch.slice(0, 3)):
+        for r in united(part).to_pylist():
+            assert r["records"] == cardinality(r["container"]) == len(unpack(r["container"]))
+    got = {(r["item"], r["container_key"]): [r["occurrences"], set(unpack(r["container"]).tolist())] for r in united(batch).to_pylist()}
+    assert got == wanted
+
+
+def test_builder_holds_no_more_than_its_limit():
+    builder, rng = Builder(1000), np.random.default_rng(9)
+    counts, where, most = Counter(), defaultdict(set), 0
+    batches = []
+    for _ in range(50):
+        local, numbers = rng.integers(0, 30, 300), rng.integers(0, 300_000, 300)
+        for i, n in zip(local.tolist(), numbers.tolist()):
+            counts[f"w{i}"] += 1
+            where[f"w{i}"].add(n)
+        batches += list(builder.add([f"w{i}" for i in range(30)], local, numbers))
+        most = max(most, builder.size)
+    batches += list(builder.flush())
+    assert most < 1300 and builder.size == 0 and len(batches) > 10
+    got = defaultdict(set)
+    occurrences = Counter()
+    for r in (r for b in batches for r in b.to_pylist()):
+        got[r["item"]] |= {(r["container_key"] << 16) + n for n in unpack(r["container"]).tolist()}
+        occurrences[r["item"]] += r["occurrences"]
+    assert got == where and occurrences == counts
+
+
+@pytest.mark.parametrize("pairs", [1 << 21, 50])
+def test_frequencies(spark, pairs):
     rng = random.Random(8)
     texts = [" ".join(rng.choice("a b c d_1 Été x2 中文 ½".split()) for _ in range(rng.randrange(12))) for _ in range(60)] + [None, "", "  ", "A" * 5000]
-    monkeypatch.setattr(vertical, "PAIRS", pairs)
-    chunk = vertical.Chunk(1)
-    for i, text in enumerate(t or "" for t in texts):
-        words = text.lower().split()
-        chunk.add(list(dict.fromkeys(words)), np.array([list(dict.fromkeys(words)).index(w) for w in words], dtype=np.int64), np.full(len(words), i))
-    got = {}
-    for batch in chunk.flush():
-        for r in batch.to_pylist():
-            got[r["item"]] = (r["occurrences"], r["records"], unpack(r["container"]).tolist())
     wanted = Counter(w for t in texts for w in (t or "").lower().split())
-    where = {w: [i for i, t in enumerate(texts) if w in (t or "").lower().split()] for w in wanted}
-    assert got == {w: (n, len(where[w]), where[w]) for w, n in wanted.items()}
-    df = spark.createDataFrame([(t,) for t in texts], "text string").withColumn("item", F.lit(1)).repartition(3)
-    rows = {r["item"]: (r["occurrences"], r["records"]) for r in frequencies(layout_of_texts(df)).collect()}
-    assert rows == {w: (n, len(where[w])) for w, n in wanted.items()}
+    where = {w: sum(w in (t or "").lower().split() for t in texts) for w in wanted}
+    df = spark.createDataFrame([(f"d{i}", t) for i, t in enumerate(texts)], "record string, text string").withColumn("item", F.lit(1)).repartition(3)
+    numbers = numbered(df, "record")
+    assert sorted(r["number"] for r in numbers.collect()) == list(range(len(texts)))
+    rows = {r["item"]: (r["occurrences"], r["records"]) for r in frequencies(layout_of_texts(df, numbers, pairs=pairs)).collect()}
+    assert rows == {w: (n, where[w]) for w, n in wanted.items()}
+
+
+def test_a_record_seen_by_several_tasks_counts_once(spark):
+    df = spark.createDataFrame([("hot", "x")] * 40 + [("r", "x"), ("r", "y")], "record string, item string").repartition(7)
+    numbers = numbered(df, "record")
+    broadcast = layout_of_values(df, F.broadcast(numbers), 5)  # the rows stay in their seven tasks
+    assert {r["item"]: (r["occurrences"], r["records"]) for r in frequencies(broadcast).collect()} == {"x": (41, 2), "y": (1, 1)}
+    assert broadcast.count() == 2  # one container for each item once united
 
 
 def test_value_frequencies_with_a_hot_record_and_marks(spark):
     rng = random.Random(9)
     rows = [("hot" if rng.random() < 0.4 else f"d{rng.randrange(30)}", f"t{int(rng.paretovariate(0.7)) % 60}") for _ in range(3000)]
     df = spark.createDataFrame(rows, "record string, item string").withColumn("part", F.lit("x"))
-    got = {r["item"]: r for r in marked(frequencies(layout_of_values(df, 4)), df.agg(F.count_distinct("record").alias("n_records"))).collect()}
+    got = {r["item"]: r for r in marked(frequencies(layout_of_values(df, numbered(df, "record"), 100)), df.agg(F.count_distinct("record").alias("n_records"))).collect()}
     records = defaultdict(set)
     for d, t in rows:
         records[t].add(d)
     n = len({d for d, _ in rows})
     assert {t: (r["occurrences"], r["records"]) for t, r in got.items()} == {t: (c, len(records[t])) for t, c in Counter(t for _, t in rows).items()}
     assert {t: r["mark"] for t, r in got.items()} == {t: "rare" if len(s) <= 1 else "common" if len(s) > 0.42 * n else None for t, s in records.items()}
-    assert frequencies(layout_of_values(spark.createDataFrame([], "record string, item string"))).collect() == []
-    assert frequencies(layout_of_texts(spark.createDataFrame([], "text string"))).collect() == []
+    for layout, columns in ((layout_of_values, "record string, item string"), (layout_of_texts, "record string, text string")):
+        empty = spark.createDataFrame([], columns)
+        assert frequencies(layout(empty, numbered(empty, "record"))).collect() == []
 
 
 def test_outstanding_term_of_the_background(spark):
