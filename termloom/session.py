@@ -29,12 +29,14 @@ def build_session(app: str = "termloom", cpus: int | str = "*", **conf: str) ->
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; one of our own only where that is unset."""
+    """The folder named by ``spark.checkpoint.dir``; where that is unset, one set in code, or a local one of our own in local mode only."""
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir")
     if folder:
         return folder
     if context._jsc.sc().getCheckpointDir().isEmpty():
+        if not context.master.startswith("local"):
+            raise RuntimeError("on a cluster, spark.checkpoint.dir has to name a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="termloom-"))
     return context._jsc.sc().getCheckpointDir().get()
 
@@ -49,15 +51,20 @@ def discard(spark: SparkSession, path: str) -> None:
         pass
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder, removed when the driver ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(discard, spark, path)
+    return path
+
+
 def written_path(df: DataFrame, name: str, **options: str) -> str:
     """Write ``df`` as Parquet below the shared folder and return its path.
 
     The files outlive a lost executor; they are removed when the driver ends.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = shared_path(df.sparkSession, name)
     df.write.options(**options).parquet(path)
-    atexit.register(discard, spark, path)
     return path
 
 

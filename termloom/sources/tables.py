@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from termloom.session import written
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` of a scale directory (a file or a folder of parts)."""
@@ -34,10 +36,31 @@ def scores_in_force(terms: DataFrame) -> DataFrame:
     whole key, which spreads a hot ``doc_id`` over all tasks. 0.0 and -0.0 come out as 0.0.
     """
     key = ["doc_id", "scorer", "term"]
-    rows = terms.where("doc_id is not null and scorer is not null and term is not null").select(
-        *key,
-        (F.col("score").cast("double") + F.lit(0.0)).alias("score"),
-        F.coalesce(F.unix_micros(F.col("extracted_at").cast("timestamp")), F.lit(-(2**63))).alias("at"),
-    )
-    latest = rows.repartition(*key).groupBy(*key, "at").agg(F.max("score").alias("score"))
-    return latest.groupBy(*key).agg(F.max_by("score", "at").alias("score"))
+    rows = terms.where("doc_id is not null and scorer is not null and term is not null").select(*key, (F.col("score").cast("double") + F.lit(0.0)).alias("score"), F.col("extracted_at").alias("at"))
+    return newest(rows.repartition(*key), key, "score", "at")
+
+
+def newest(rows: DataFrame, key: list[str], value: str, at: str) -> DataFrame:
+    """``key, value``: of the rows of each key the value of the greatest ``at``, a null ``at`` being the oldest.
+
+    Among rows that tie, the greatest value wins (NaN is the greatest, null the least). Needs no
+    shuffle where the rows are partitioned by columns of the key.
+    """
+    timed = rows.select(*key, value, F.coalesce(F.unix_micros(F.col(at).cast("timestamp")), F.lit(-(2**63))).alias("_at"))
+    return timed.groupBy(*key, "_at").agg(F.max(value).alias(value)).groupBy(*key).agg(F.max_by(value, "_at").alias(value))
+
+
+def spread(rows: DataFrame, groups: list[str], by: str, shares: int = 4) -> DataFrame:
+    """``rows`` partitioned by group, with ``slices`` and ``slice``: large groups are cut by a hash of ``by``.
+
+    A group with more than 1 / (shares * shuffle partitions) of all rows gets as many slices as it
+    has such shares, so there are at most shares * partitions of these groups: that bounds what is
+    broadcast, whatever the data.
+    """
+    spark = rows.sparkSession
+    parts = shares * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counts = written(rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n")), "group-sizes")
+    total = counts.agg(F.sum("_n").alias("_total"))
+    large = counts.crossJoin(F.broadcast(total)).where(F.col("_n") * parts > F.col("_total")).select(*groups, F.ceil(F.col("_n") * parts / F.col("_total")).cast("int").alias("slices"))
+    cut = rows.join(F.broadcast(large), groups, "left").withColumn("slices", F.coalesce("slices", F.lit(1)))
+    return cut.withColumn("slice", F.pmod(F.xxhash64(by), F.col("slices")).cast("int")).repartition(*groups, "slice")
