@@ -29,8 +29,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = scores_in_force(table(spark, sf_dir, "terms"))
-    return top_n_per_group(scores, ["scorer", "doc_id"], "term", "score", 5).select("doc_id", "scorer", "term")
+    return top_n_per_group(table(spark, sf_dir, "terms"), ["scorer", "doc_id"], "term", "score", 5, "extracted_at").select("doc_id", "scorer", "term")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

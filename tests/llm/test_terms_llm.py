@@ -12,7 +12,7 @@ from termloom.llm import heavy_items, rank_walk
 from termloom.llm.distinctive import Models, distinctive_terms, outstanding_terms, parsimonious
 from termloom.llm.heavy_items import code_words, decode_word, frequent_items
 from termloom.llm.rank_walk import rank_terms
-from termloom.llm.top_groups import read_top, top_n_per_group
+from termloom.llm.top_groups import Clustered, cluster, needed, read_top, top_n_per_group
 from termloom.llm.vertical import NAMES, Builder, cardinality, frequencies, layout_of_texts, layout_of_values, marked, numbered, pack, union, united, unpack
 
 NAN = float("nan")
@@ -34,21 +34,79 @@ def test_top_n_with_a_hot_group_ties_and_dirt(spark):
     rows += [(f"g{rng.randrange(300)}", f"é{rng.randrange(40)}", rng.choice([1.0, 2.0, -1.0, 0.0, -0.0])) for _ in range(4000)]
     rows += [(None, "x", 1.0), ("n", None, 1.0), ("n", "x", None), ("n", "x", NAN), ("one", "\U0001f600", -5.0), ("one", "￿", -5.0)]
     df = spark.createDataFrame(rows, "g string, item string, score double").withColumn("rank", F.lit("clash")).withColumn("g0", F.lit(1))
-    got = [tuple(r) for r in top_n_per_group(df, ["g"], "item", "score", 5, row_group_bytes=4096).select("g", "item", "rank").collect()]
+    got = [tuple(r) for r in top_n_per_group(df, ["g"], "item", "score", 5, row_group_rows=100).select("g", "item", "rank").collect()]
     assert set(got) == brute_top(rows, 5) and len(got) == len(set(got))
 
 
-def test_top_n_skips_row_groups(tmp_path, spark):
-    import pyarrow as pa
-
-    path = str(tmp_path / "x.parquet")
-    scores = np.sort(np.random.default_rng(2).random(5000))[::-1]
-    pq.write_table(pa.table({"g0": ["hot"] * 5000, "item": [f"i{i:05}" for i in range(5000)], "score": scores}), path, row_group_size=500)
-    read = [flag for _, flag in read_top(pq.ParquetFile(path), ["g0"], "item", "score", 5)]
-    assert read == [True] + [False] * 9
-    tied = str(tmp_path / "y.parquet")
-    pq.write_table(pa.table({"g0": ["hot"] * 1000, "item": [f"i{i:05}" for i in range(1000)], "score": [1.0] * 1000}), tied, row_group_size=500)
-    assert [flag for _, flag in read_top(pq.ParquetFile(tied), ["g0"], "item", "score", 5)] == [True, True]  # not strictly below
+def files_of(spark, tmp_path, parts, n, rows):
+    """Write sorted parts of one-key tables as a clustered set of files; the plan by file."""
+    notes = []
+    for i, part in enumerate(parts):
+        table = pa.table({"g0": [g for g, _, _ in part], "item": [x for _, x, _ in part], "score": [s for _, _, s in part], "sliced": [g == "cut" for g, _, _ in part]})
+        file = Clustered(str(tmp_path / f"{i}.parquet"), ["g0"], n, rows)
+        file.write(iter(table.to_batches(max_chunksize=70)))
+        notes += file.notes
+    schema = "uri string, row_group int, whole boolean, top double, max double, nth double, key array<string>"
+    rows = [tuple(x[c] for c in ("uri", "row_group", "whole", "top", "max", "nth", "key")) for x in notes]
+    return needed(spark.createDataFrame(rows, schema)).collect()
+
+
+def test_row_groups_below_every_bound_are_not_read(tmp_path, spark):
+    rng = np.random.default_rng(2)
+
+    def group(name, n, low, high):
+        return [(name, f"i{i:05}", float(s)) for i, s in enumerate(np.sort(rng.uniform(low, high, n))[::-1])]
+
+    # the hot group alone: five of its six row groups are skipped
+    plan = files_of(spark, tmp_path, [group("hot", 600, 0, 1)], 5, 100)
+    assert [p["needed"] for p in sorted(plan, key=lambda p: p["row_group"])] == [True] + [False] * 5
+    # row groups of two large groups each: skipped where both are below their bounds
+    plan = files_of(spark, tmp_path, [group("a", 250, 0, 1) + group("b", 250, 5, 6)], 5, 100)
+    assert [p["needed"] for p in sorted(plan, key=lambda p: p["row_group"])] == [True, False, True, False, False]
+    # a bound found in one file holds in the others
+    plan = files_of(spark, tmp_path, [group("cut", 300, 0, 1), group("cut", 300, 2, 3)], 5, 100)
+    assert sorted((p["uri"][-9:], p["row_group"]) for p in plan if p["needed"]) == [("1.parquet", 0)]
+    # a whole small group keeps its row group
+    plan = files_of(spark, tmp_path, [group("a", 150, 0, 1) + group("b", 20, 5, 6) + group("c", 130, 0, 1)], 5, 100)
+    assert [p["needed"] for p in sorted(plan, key=lambda p: p["row_group"])] == [True, True, False]
+    # equal scores are not strictly below
+    plan = files_of(spark, tmp_path, [[("hot", f"i{i:05}", 1.0) for i in range(300)]], 5, 100)
+    assert all(p["needed"] for p in plan)
+
+
+def test_bounds_rise_while_a_file_is_read(tmp_path, spark):
+    rows = [("cut", f"i{i:05}", 1.0 - i / 1000) for i in range(500)]
+    file = Clustered(str(tmp_path / "x.parquet"), ["g0"], 150, 100)
+    file.write(iter(pa.table({"g0": ["cut"] * 500, "item": [r[1] for r in rows], "score": [r[2] for r in rows], "sliced": [True] * 500}).to_batches()))
+    plan = [{"row_group": x["row_group"], "whole": x["whole"], "top": x["top"], "beyond": [{"key": x["key"], "max": x["max"], "bound": None}]} for x in file.notes]
+    read = [found is not None for _, found in read_top(pq.ParquetFile(str(tmp_path / "x.parquet")), plan, ["g0"], 150)]
+    assert read == [True, True, False, False, False]
+
+
+def test_most_of_the_hot_record_is_skipped(spark):
+    rng = random.Random(3)
+    rows = [("hot", f"t{i}", rng.random()) for i in range(40_000)] + [(f"g{i // 12}", f"t{i}", rng.random()) for i in range(60_000)]
+    df = spark.createDataFrame(pa.table({"g0": [r[0] for r in rows], "item": [r[1] for r in rows], "score": [r[2] for r in rows]}))
+    from termloom.sources.tables import spread
+
+    sliced = spread(df, ["g0"], "item").select("g0", "item", "score", (F.col("slices") > 1).alias("sliced")).sortWithinPartitions("g0", F.col("score").desc(), "item")
+    plan = needed(cluster(sliced, ["g0"], 5, 1000)).collect()
+    hot = [p for p in plan if not p["whole"] and all(b["key"] == ["hot"] for b in p["beyond"])]
+    assert len(hot) > 25 and sum(p["needed"] for p in hot) <= 8 and all(p["needed"] for p in plan if p["whole"])
+    assert {(r["g0"], r["item"], r["rank"]) for r in top_n_per_group(df, ["g0"], "item", "score", 5).collect()} == brute_top(rows, 5)
+
+
+def test_top_n_of_the_newest_scores(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice(["hot", "hot", "a", "b"]), f"t{rng.randrange(300)}", rng.choice([None, NAN, 1.0, 2.0, 3.0, -0.0, 0.0]), rng.choice([None, 1, 2, 3])) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "g string, item string, score double, t int").withColumn("at", F.timestamp_seconds("t"))
+    best = {}
+    for g, item, score, t in rows:
+        rank = (-1 if t is None else t, (0, 0.0) if score is None else (2, 0.0) if score != score else (1, score))
+        if (g, item) not in best or rank > best[g, item][0]:
+            best[g, item] = (rank, score)
+    wanted = brute_top([(g, item, s) for (g, item), (_, s) in best.items()], 5)
+    assert {(r["g"], r["item"], r["rank"]) for r in top_n_per_group(df, ["g"], "item", "score", 5, "at", 64).collect()} == wanted
 
 
 def test_top_n_of_nothing(spark):
