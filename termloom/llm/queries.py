@@ -17,7 +17,7 @@ from termloom.llm.sentences import sentence_units
 from termloom.llm.tokenizer import encode_texts
 from termloom.llm.top_groups import top_n_per_group
 from termloom.llm.vertical import frequencies, layout_of_texts, layout_of_values, marked, numbered
-from termloom.sources.tables import records_in_force, scores_in_force, table
+from termloom.sources.tables import records_in_force, table
 
 
 def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,12 +80,12 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = table(spark, sf_dir, "processed_corpus").select("doc_id").where(F.col("doc_id").isNotNull()).distinct()
-    scores = scores_in_force(table(spark, sf_dir, "terms")).join(records, "doc_id", "left_semi")
-    return rank_terms(scores).where("winner and record_scorers >= 3 and record_terms >= 2").select("doc_id", "term")
+    scores = table(spark, sf_dir, "terms").join(records, "doc_id", "left_semi")
+    return rank_terms(scores, "extracted_at").where("winner and record_scorers >= 3 and record_terms >= 2").select("doc_id", "term")
 
 
 def p7_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rank_terms(scores_in_force(table(spark, sf_dir, "terms"))).where("record_scorers >= 2").select("doc_id", "term", "place")
+    return rank_terms(table(spark, sf_dir, "terms"), "extracted_at").where("record_scorers >= 2").select("doc_id", "term", "place")
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

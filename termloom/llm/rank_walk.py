@@ -5,10 +5,15 @@ items that this scorer ranks strictly higher (it stays where there is none); wit
 1 - DAMPING it jumps anywhere in the record. Only the order of each scorer's values is used, so
 range, sign and gaps do not matter, and every scorer weighs alike. A power iteration needs, per
 scorer, the sum of p(j) / higher(j) over the items ranked below: one prefix sum over the sorted
-order. Items are ordered by stationary probability.
+order. It ends when the probabilities stand still. Items are ordered by stationary probability.
 
-Records of up to LOCAL score rows are walked many at a time inside a task; larger ones are walked
-by Spark itself, with the sorted orders cut into blocks so that no task sees a whole record.
+Records are walked many at a time inside a task. A record with more than its share of all rows (at
+most ``shares`` * shuffle partitions of them) is cut into blocks, of items and of sorted scores,
+which exchange packed sums in two small shuffles a step; no task sees more than a block.
+
+The items that win against each other item of their record are looked for down the walk's order: a
+candidate is compared with all, and only those that beat it stay candidates. So none is missed,
+and where the walk puts the winner first, one comparison settles it.
 """
 
 from __future__ import annotations
@@ -18,20 +23,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.functions.arrow_groups import key_codes, runs, whole_groups
 from termloom.functions.running import running_sum
-from termloom.session import discard, written, written_path
-
-DAMPING, STEPS = 0.85, 20
-#: Significant digits, decimal and binary, to which stationary probabilities are compared; equal ones are ordered by term.
+from termloom.llm.files import read_part
+from termloom.session import discard, shared_path, written
+from termloom.sources.tables import newest
+
+DAMPING = 0.85
+#: The walk ends when the sum of all changes of a record's probabilities is at most STILL, or after MOST steps.
+STILL, MOST = 1e-11, 200
+#: Binary digits to which stationary probabilities are compared; equal ones are ordered by term.
 DIGITS, BITS = 12, 40
 #: Rows whose sums may be cumulated together; a longer segment stands alone.
 BLOCK = 4096
-#: Score rows of a record that one task may walk.
-LOCAL = 1_000_000
 RANKED = "doc_id string, term string, weight double, place long, scorers long, record_scorers long, record_terms long, winner boolean"
 
 
@@ -60,24 +68,25 @@ class Walk:
         self.closes = np.isin(self.segment_end, np.append(block, len(segment)))
         self.scorers = np.bincount(self.item, minlength=len(self.item_doc))
 
-    def stationary(self, damping: float = DAMPING, steps: int = STEPS) -> np.ndarray:
+    def stationary(self, damping: float = DAMPING, most: int = MOST) -> np.ndarray:
         """The probability of each item: power iteration, with the slowest part of the error extrapolated away.
 
         What is left of the error falls by about the damping in each step; (p - damping * before) / (1 -
-        damping) is free of that part and still sums to 1.
+        damping) is free of that part and still sums to 1. The steps end when it stands still in every record.
         """
         of = np.repeat(np.arange(len(self.doc_start)), self.doc_size)
         size = self.doc_size[of].astype(float)
-        p = 1.0 / size
+        p = weight = 1.0 / size
         top = self.higher == 0
         share = 1.0 / np.where(top, 1, self.higher)
-        before = p
-        for _ in range(steps):
-            before = p
+        for _ in range(most):
             leaving = (p / self.scorers)[self.item]
             arriving = self.below(np.where(top, 0.0, leaving * share)) + np.where(top, leaving, 0.0)
-            p = damping * np.bincount(self.item, weights=arriving, minlength=len(p)) + (1 - damping) / size
-        return (p - damping * before) / (1 - damping)
+            p, before = damping * np.bincount(self.item, weights=arriving, minlength=len(p)) + (1 - damping) / size, p
+            weight, last = (p - damping * before) / (1 - damping), weight
+            if np.add.reduceat(np.abs(weight - last), self.doc_start).max(initial=0.0) <= STILL:
+                break
+        return weight
 
     def below(self, value: np.ndarray) -> np.ndarray:
         """For each row the sum of ``value`` over the rows its scorer ranks strictly lower.
@@ -94,31 +103,35 @@ class Walk:
     def winners(self, order: np.ndarray) -> np.ndarray:
         """The items that have the higher score under more scorers than the lower one against each other item of their record.
 
-        ``order`` lists the items record by record in walk order. One pass down that order keeps a
-        champion, replaced by any item it does not beat; only the last champion can be a winner,
-        which a second pass settles.
+        ``order`` lists the items record by record in walk order. The first candidate of each
+        record is compared with all items; if it does not beat them all, the next one is the first
+        of those that beat every candidate so far.
         """
         matrix = np.full((len(self.item_doc), int(self.scorer.max()) + 1), np.nan)
         matrix[self.item, self.scorer] = self.score
+        matrix = matrix[order]
 
         def lead(a: np.ndarray, b: np.ndarray) -> np.ndarray:
             with np.errstate(invalid="ignore"):
                 return (matrix[a] > matrix[b]).sum(axis=-1) - (matrix[a] < matrix[b]).sum(axis=-1)
 
-        champion = order[self.doc_start].copy()
-        by_size = np.argsort(-self.doc_size, kind="stable")
-        sizes = self.doc_size[by_size]
-        for step in range(1, int(sizes[0]) if len(sizes) else 0):
-            docs = by_size[: np.searchsorted(-sizes, -step, side="left")]
-            rival = order[self.doc_start[docs] + step]
-            loses = lead(champion[docs], rival) <= 0
-            champion[docs[loses]] = rival[loses]
-        of = np.repeat(np.arange(len(self.doc_start)), self.doc_size)
-        everyone = np.arange(len(self.item_doc))
-        beaten = (lead(champion[of], everyone) > 0) | (champion[of] == everyone)
-        wins = np.logical_and.reduceat(beaten, self.doc_start) if len(everyone) else np.zeros(0, dtype=bool)
-        out = np.zeros(len(self.item_doc), dtype=bool)
-        out[champion[wins]] = True
+        won = np.zeros(len(order), dtype=bool)
+        alive = np.ones(len(order), dtype=bool)
+        start, size = self.doc_start, self.doc_size
+        candidate = start.copy()
+        while len(start):
+            rows = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            heads = np.cumsum(size) - size
+            rival = np.repeat(candidate, size)
+            ahead = lead(rival, rows)
+            wins = np.logical_and.reduceat((ahead > 0) | (rows == rival), heads)
+            won[candidate[wins]] = True
+            alive[rows] &= ahead < 0
+            left = np.logical_or.reduceat(alive[rows], heads) & ~wins
+            following = np.minimum.reduceat(np.where(alive[rows], rows, len(order)), heads)
+            start, size, candidate = start[left], size[left], following[left]
+        out = np.zeros(len(order), dtype=bool)
+        out[order[won]] = True
         return out
 
 
@@ -156,7 +169,9 @@ def _numeric(scores: DataFrame) -> DataFrame:
     return scores.where(usable).select(F.col("doc_id").cast("string").alias("doc_id"), "scorer", "term", (F.col("score").cast("double") + F.lit(0.0)).alias("score"))
 
 
-def _local(rows: DataFrame) -> DataFrame:
+def _in_task(rows: DataFrame) -> DataFrame:
+    """The ranking of records that lie in one task each; ``rows`` are partitioned by record."""
+
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in whole_groups(batches, "doc_id"):
             doc = key_codes(chunk.column("doc_id"))
@@ -183,100 +198,315 @@ def _local(rows: DataFrame) -> DataFrame:
                 names=["doc_id", "term", "weight", "place", "scorers", "record_scorers", "record_terms", "winner"],
             )
 
-    return rows.repartition("doc_id").sortWithinPartitions("doc_id").mapInArrow(walk, RANKED)
+    return rows.sortWithinPartitions("doc_id").mapInArrow(walk, RANKED)
+
+
+# --- records cut into blocks ------------------------------------------------------------------
+
+
+def _each(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """One table for each group of a stream clustered by an integer ``key``."""
+    for chunk in whole_groups(batches, key, 1):
+        starts = runs(chunk.column(key).to_numpy())
+        for s, e in zip(starts.tolist(), [*starts[1:].tolist(), chunk.num_rows]):
+            yield chunk.slice(s, e - s)
 
 
-def _distributed(rows: DataFrame, damping: float = DAMPING, steps: int = STEPS) -> DataFrame:
-    """The same walk for large records, on tables.
+def _binary(values: np.ndarray, kind: str) -> bytes:
+    return np.ascontiguousarray(values, dtype=kind).tobytes()
 
-    A record's items carry, per scorer, the block and place of their score and the number of rows
-    above it; blocks are ranges of scores. A step shuffles twice: to blocks, where prefix sums run,
-    and back to items. Across blocks only their sums are gathered.
+
+def _score_blocks(rows: DataFrame, parts: int) -> DataFrame:
+    """The rows in blocks of one score range each: ``doc_id, scorer, term, block, pos, higher, opening`` and a row per block.
+
+    ``higher`` counts the rows above within the block, ``opening`` marks the rows of its first
+    scorer, which the block before may have begun. The block's own row has its ends of ties and
+    scorers in ``body``, and in ``higher`` and ``pos`` the sizes of its first and last scorer.
     """
-    spark = rows.sparkSession
-    key = ["doc_id", "scorer"]
-    rows = written(rows, "walk-rows")
-    values = rows.groupBy(*key, "score").agg(F.count(F.lit(1)).alias("size"))
-    blocked = written(values.repartitionByRange(*key, F.col("score").desc()).withColumn("block", F.spark_partition_id()), "walk-values")
-    ranked = running_sum(blocked, key, "block", [F.col("score").desc()], "size", "higher")
-    ranked = ranked.withColumn("r", F.row_number().over(Window.partitionBy(*key, "block").orderBy("score")))
-    # a row for each scorer of a large record, so one window over all of them is small
-    segments = rows.select(*key).distinct().withColumn("seg", F.row_number().over(Window.orderBy(*key)))
-    entries = rows.join(ranked.select(*key, "score", "block", "higher", "r"), [*key, "score"]).join(segments, key)
-    items = entries.groupBy("doc_id", "term").agg(F.collect_list(F.struct("seg", "block", "r", "higher")).alias("e"))
-    sizes = items.groupBy("doc_id").agg(F.count(F.lit(1)).alias("record_terms"))
-    widths = segments.groupBy("doc_id").agg(F.count(F.lit(1)).alias("record_scorers"))
-    items = written(items.join(sizes, "doc_id").join(widths, "doc_id").withColumn("item", F.monotonically_increasing_id()), "walk-items")
-    start = F.lit(1.0) / F.col("record_terms")
-    state = items.select("item", F.col("record_terms").alias("n"), start.alias("p"), start.alias("before"), "e")
-    held: list[str] = []
-    for _ in range(steps):
-        out = state.select("item", "n", "p", F.size("e").alias("m"), F.inline("e"))
-        out = out.withColumn("leaving", F.col("p") / F.col("m")).withColumn("share", F.when(F.col("higher") > 0, F.col("leaving") / F.col("higher")).otherwise(0.0))
-        lower = Window.partitionBy("seg", "block").orderBy("r").rangeBetween(Window.unboundedPreceding, -1)
-        later = Window.partitionBy("seg").orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, -1)
-        sums = out.groupBy("seg", "block").agg(F.sum("share").alias("s")).select("seg", "block", F.coalesce(F.sum("s").over(later), F.lit(0.0)).alias("offset"))
-        inside = out.withColumn("below", F.coalesce(F.sum("share").over(lower), F.lit(0.0)))
-        arriving = F.col("below") + F.col("offset") + F.when(F.col("higher") == 0, F.col("leaving")).otherwise(0.0)
-        back = inside.join(sums, ["seg", "block"]).groupBy("item").agg(F.sum(arriving).alias("a"), F.first("n").alias("n"), F.first("p").alias("before"), F.collect_list(F.struct("seg", "block", "r", "higher")).alias("e"))
-        state = back.select("item", "n", (damping * F.col("a") + (1 - damping) / F.col("n")).alias("p"), "before", "e")
-        held.append(written_path(state, "walk-state"))
-        state = spark.read.schema(state.schema).parquet(held[-1])
-        if len(held) > 1:
-            discard(spark, held[-2])
-    weight = (F.col("p") - damping * F.col("before")) / (1 - damping)
-    result = items.drop("e").join(state.select("item", weight.alias("weight")), "item")
-    scorers = rows.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("scorers"))
-    ordered = result.join(scorers, ["doc_id", "term"]).withColumn("key", comparable_column("weight", "record_terms")).repartitionByRange("doc_id", F.col("key").desc(), "term").withColumn("block", F.spark_partition_id())
-    placed = running_sum(written(ordered.withColumn("one", F.lit(1)), "walk-order"), ["doc_id"], "block", [F.col("key").desc(), F.col("term")], "one", "above")
-    champions = F.broadcast(_champions(rows))  # at most one row for each record of more than LOCAL rows
-    return placed.join(champions, ["doc_id", "term"], "left").select("doc_id", "term", "weight", (F.col("above") + 1).cast("long").alias("place"), F.col("scorers").cast("long").alias("scorers"), F.col("record_scorers").cast("long").alias("record_scorers"), F.col("record_terms").cast("long").alias("record_terms"), F.coalesce("winner", F.lit(False)).alias("winner"))
-
-
-def _champions(rows: DataFrame) -> DataFrame:
-    """``(doc_id, term, winner)``: the pairwise winners of large records, by a tournament in two levels."""
-    items = rows.groupBy("doc_id", "term").agg(F.collect_list(F.struct("scorer", "score")).alias("scores"))
-
-    def tournament(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[str, tuple[str, dict[str, float]]] = {}
-        for batch in batches:
-            for doc, term, scores in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "term", "scores"))):
-                own = {x["scorer"]: x["score"] for x in scores}
-                if doc in best:
-                    other = best[doc][1]
-                    if sum((other[k] > v) - (other[k] < v) for k, v in own.items() if k in other) > 0:
-                        continue
-                best[doc] = (term, own)
+    ordered = rows.repartitionByRange(parts, "doc_id", "scorer", F.col("score").desc()).sortWithinPartitions("doc_id", "scorer", F.col("score").desc(), "term")
+    schema = "doc_id string, scorer string, term string, block int, pos int, higher long, opening boolean, body binary, first array<string>, last array<string>"
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held).combine_chunks()
+        n, block = table.num_rows, TaskContext.get().partitionId()
+        doc, scorer = key_codes(table.column("doc_id")), key_codes(table.column("scorer"))
+        segment = doc * (int(scorer.max()) + 1) + scorer
+        start, tie = runs(segment), runs_of_pairs(segment, table.column("score").to_numpy())
+        size, tie_size = np.diff(np.append(start, n)), np.diff(np.append(tie, n))
+        higher = np.repeat(tie, tie_size) - np.repeat(start, size)
+        after_tie, segment_end = np.repeat(np.append(tie[1:], n), tie_size), np.repeat(start + size, size)
+        key = lambda i: [table.column("doc_id")[i].as_py(), table.column("scorer")[i].as_py()]
+        names = [x.strip().split()[0] for x in schema.split(", ")]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(list(best), pa.string()), pa.array([t for t, _ in best.values()], pa.string()), pa.array([[{"scorer": k, "score": v} for k, v in s.items()] for _, s in best.values()], SCORES)],
-            names=["doc_id", "term", "scores"],
+            [*(pa.array([None], pa.string()) for _ in range(3)), pa.array([block], pa.int32()), pa.array([size[-1]], pa.int32()), pa.array([size[0]], pa.int64()), pa.array([len(start) == 1]), pa.array([_binary(np.concatenate((after_tie, segment_end)), "<i4")], pa.binary()), pa.array([key(0)], pa.list_(pa.string())), pa.array([key(n - 1)], pa.list_(pa.string()))],
+            names=names,
         )
+        for a in range(0, n, 65_536):
+            part, k = table.slice(a, 65_536), min(65_536, n - a)
+            yield pa.RecordBatch.from_arrays(
+                [*(part.column(c).combine_chunks() for c in ("doc_id", "scorer", "term")), pa.array(np.full(k, block), pa.int32()), pa.array(np.arange(a, a + k), pa.int32()), pa.array(higher[a : a + k]), pa.array(segment[a : a + k] == segment[0]), pa.nulls(k, pa.binary()), pa.nulls(k, pa.list_(pa.string())), pa.nulls(k, pa.list_(pa.string()))],
+                names=names,
+            )
 
-    schema = "doc_id string, term string, scores array<struct<scorer string, score double>>"
-    final = items.mapInArrow(tournament, schema).repartition("doc_id").mapInArrow(tournament, schema)
-    final = written(final.withColumnsRenamed({"term": "champion", "scores": "best"}), "walk-champions")
-    lead = F.expr("""aggregate(scores, 0, (n, x) -> n + aggregate(best, 0, (m, y) -> m + case
-        when y.scorer <> x.scorer then 0 when y.score > x.score then 1 when y.score < x.score then -1 else 0 end))""")
-    lost = items.join(F.broadcast(final), "doc_id").where((F.col("term") != F.col("champion")) & (lead <= 0)).select("doc_id").distinct()
-    return final.join(lost, "doc_id", "left_anti").select("doc_id", F.col("champion").alias("term"), F.lit(True).alias("winner"))
-
+    return ordered.select("doc_id", "scorer", "term", "score").mapInArrow(cut, schema)
 
-SCORES = pa.list_(pa.struct([("scorer", pa.string()), ("score", pa.float64())]))
 
+def _item_blocks(entries: DataFrame, parts: int, offsets: dict[int, int]) -> DataFrame:
+    """The items in blocks by hash: rows ``a, idx, doc_id, term, scorers`` of items, and per score block ``b`` what links them.
 
-def rank_terms(scores: DataFrame, local: int = LOCAL) -> DataFrame:
+    A row with a ``b`` holds, for the entries of the item block there: item, place, rows above in
+    the record, and whether they are of the block's first scorer. ``offsets`` are the rows of each
+    score block's first scorer in the blocks before.
+    """
+    schema = "a int, idx int, doc_id string, term string, scorers int, b int, links binary, pos binary"
+    spread = entries.repartition(parts, "doc_id", "term").sortWithinPartitions("doc_id", "term")
+
+    def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held).combine_chunks()
+        a = TaskContext.get().partitionId()
+        doc, term = key_codes(table.column("doc_id")), key_codes(table.column("term"))
+        starts = runs_of_pairs(doc, term)
+        scorers = np.diff(np.append(starts, len(doc)))
+        idx = np.repeat(np.arange(len(starts)), scorers)
+        k = len(starts)
+        items = table.select(["doc_id", "term"]).take(pa.array(starts))
+        names = ["a", "idx", "doc_id", "term", "scorers", "b", "links", "pos"]
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(k, a), pa.int32()), pa.array(np.arange(k), pa.int32()), *(items.column(c).combine_chunks() for c in ("doc_id", "term")), pa.array(scorers, pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary())], names=names)
+        block, pos = table.column("block").to_numpy(), table.column("pos").to_numpy()
+        opening = table.column("opening").to_numpy()
+        higher = table.column("higher").to_numpy() + np.where(opening, np.array([offsets[x] for x in range(parts)])[block], 0)
+        order = np.lexsort((pos, block))
+        cuts = runs(block[order])
+        for s, e in zip(cuts, np.append(cuts[1:], len(order))):
+            rows = order[s:e]
+            links = _binary(idx[rows], "<i8") + _binary(higher[rows], "<i8") + _binary(opening[rows], "<i8")
+            yield pa.RecordBatch.from_arrays([pa.array([a], pa.int32()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.string()), pa.nulls(1, pa.string()), pa.nulls(1, pa.int32()), pa.array([int(block[rows[0]])], pa.int32()), pa.array([links], pa.binary()), pa.array([_binary(pos[rows], "<i4")], pa.binary())], names=names)
+
+    return spread.mapInArrow(group, schema)
+
+
+class Exchange:
+    """The walk over blocks: where its tables lie, and the three stages of a step."""
+
+    def __init__(self, spark: SparkSession, rows: DataFrame, damping: float) -> None:
+        self.spark, self.damping = spark, damping
+        self.parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.entries = written(_score_blocks(rows, self.parts), "walk-scores")
+        # a row for each block
+        heads = sorted(self.entries.where("body is not null").select("block", "pos", "higher", "opening", "first", "last").collect())
+        self.offsets = dict.fromkeys(range(self.parts), 0)
+        self.goes_on: dict[int, int] = {}  # the block in which a block's last scorer goes on
+        self.single = {h["block"] for h in heads if h["opening"]}
+        running = 0
+        for before, head in zip(heads, heads[1:]):
+            if before["last"] == head["first"]:
+                running = before["pos"] + (running if before["opening"] else 0)
+                self.goes_on[before["block"]] = head["block"]
+                self.offsets[head["block"]] = running
+            else:
+                running = 0
+        made = written(_item_blocks(self.entries.where("body is null"), self.parts, self.offsets), "walk-items")
+        self.items = made.where("b is null").select("a", "idx", "doc_id", "term", "scorers")
+        per_record = self.items.groupBy("doc_id").agg(F.count(F.lit(1)).alias("record_terms"))
+        widths = self.entries.where("body is null").groupBy("doc_id").agg(F.count_distinct("scorer").alias("record_scorers"))
+        # as many rows as there are records cut into blocks
+        self.records = written(per_record.join(widths, "doc_id"), "walk-records")
+        self.item_files, self.score_files, self.link_files = (shared_path(spark, f"walk-{x}") for x in ("item", "score", "link"))
+        self.entries.where("body is not null").select("block", "body").write.partitionBy("block").parquet(self.score_files)
+        links = made.where("b is not null").select("a", "b", "links", "pos")
+        links.select("b", "a", "pos").repartition("b").sortWithinPartitions("b", "a").write.partitionBy("b").parquet(self.link_files)
+        sized = self.items.join(F.broadcast(self.records), "doc_id").repartition("a").sortWithinPartitions("a", "idx")
+
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for chunk in _each(batches, "a"):
+                body = _binary(chunk.column("scorers").to_numpy(), "<i8") + _binary(chunk.column("record_terms").to_numpy(), "<i8")
+                yield pa.RecordBatch.from_arrays([pa.array([chunk.column("a")[0].as_py()], pa.int32()), pa.array([-1], pa.int32()), pa.array([body], pa.binary())], names=["a", "b", "links"])
+
+        sizes = sized.select("a", "idx", "scorers", "record_terms").mapInArrow(pack, "a int, b int, links binary")
+        links.select("a", "b", "links").unionByName(sizes).repartition("a").sortWithinPartitions("a", "b").write.partitionBy("a").parquet(self.item_files)
+
+    def _items_of(self):
+        """What a task needs to read an item block: scorers and record size of its items, and its links by score block."""
+        folder = self.item_files
+
+        def read(a: int) -> tuple[np.ndarray, np.ndarray, dict[int, np.ndarray]]:
+            found = {r["b"]: np.frombuffer(r["links"], dtype="<i8") for r in read_part(f"{folder}/a={a}")}
+            scorers, size = found.pop(-1).reshape(2, -1)
+            return scorers, size, {b: x.reshape(3, -1) for b, x in sorted(found.items())}
+
+        return read
+
+    def start(self) -> str:
+        items_of = self._items_of()
+
+        def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for a in batch.column(0).to_pylist():
+                    p = _binary(1.0 / items_of(a)[1], "<f8")
+                    yield pa.RecordBatch.from_arrays([pa.array([a], pa.int32()), pa.array([p], pa.binary()), pa.array([p], pa.binary()), pa.array([1.0])], names=["a", "p", "weight", "moved"])
+
+        blocks = self.items.select("a").distinct()
+        return self._write(blocks.mapInArrow(first, "a int, p binary, weight binary, moved double"))
+
+    def _write(self, state: DataFrame) -> str:
+        path = shared_path(self.spark, "walk-state")
+        state.write.partitionBy("a").parquet(path)
+        return path
+
+    def step(self, path: str) -> str:
+        """The state after one step from the state at ``path``."""
+        items_of, parts, goes_on, single, damping = self._items_of(), self.parts, self.goes_on, self.single, self.damping
+        score_files, link_files = self.score_files, self.link_files
+
+        def leave(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for a, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    scorers, _, links = items_of(a)
+                    leaving = np.frombuffer(raw) / scorers
+                    shares: dict[int, bytes] = {}
+                    opening = dict.fromkeys(range(parts), 0.0)
+                    for b, (idx, higher, first) in links.items():
+                        share = np.where(higher > 0, leaving[idx] / np.maximum(higher, 1), 0.0)
+                        shares[b], opening[b] = share.tobytes(), float(share[first > 0].sum())
+                    tail = dict.fromkeys(range(parts), 0.0)  # what flows into a block's last scorer from later blocks
+                    for b in range(parts - 1, -1, -1):
+                        if (k := goes_on.get(b)) is not None:
+                            tail[b] = opening[k] + (tail[k] if k in single else 0.0)
+                    sent = [b for b in range(parts) if b in shares or tail[b]]
+                    yield pa.RecordBatch.from_arrays([pa.array(sent, pa.int32()), pa.array([a] * len(sent), pa.int32()), pa.array([shares.get(b, b"") for b in sent], pa.binary()), pa.array([tail[b] for b in sent], pa.float64())], names=["b", "a", "shares", "tail"])
+
+        def climb(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for chunk in _each(batches, "b"):
+                b = chunk.column("b")[0].as_py()
+                after_tie, segment_end = np.frombuffer(read_part(f"{score_files}/block={b}")[0]["body"], dtype="<i4").reshape(2, -1)
+                n = len(after_tie)
+                places = {r["a"]: np.frombuffer(r["pos"], dtype="<i4") for r in read_part(f"{link_files}/b={b}")}
+                share, tail = np.zeros(n), 0.0
+                for a, raw, t in zip(chunk.column("a").to_pylist(), chunk.column("shares").to_pylist(), chunk.column("tail").to_pylist()):
+                    tail += t
+                    if raw:
+                        share[places[a]] = np.frombuffer(raw)
+                sums = np.zeros(n + 1, dtype=np.longdouble)
+                sums[:n] = np.cumsum(share[::-1], dtype=np.longdouble)[::-1]
+                below = (sums[after_tie] - sums[segment_end]).astype(float) + np.where(segment_end == n, tail, 0.0)
+                yield pa.RecordBatch.from_arrays([pa.array(list(places), pa.int32()), pa.array([b] * len(places), pa.int32()), pa.array([below[x].tobytes() for x in places.values()], pa.binary())], names=["a", "b", "below"])
+
+        def arrive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for chunk in _each(batches, "a"):
+                a = chunk.column("a")[0].as_py()
+                scorers, size, links = items_of(a)
+                state = read_part(f"{path}/a={a}")[0]
+                before, last = np.frombuffer(state["p"]), np.frombuffer(state["weight"])
+                got = np.zeros(len(before))
+                for b, raw in zip(chunk.column("b").to_pylist(), chunk.column("below").to_pylist()):
+                    idx, higher, _ = links[b]
+                    got += np.bincount(idx, weights=np.frombuffer(raw) + np.where(higher > 0, 0.0, (before / scorers)[idx]), minlength=len(got))
+                p = damping * got + (1 - damping) / size
+                weight = (p - damping * before) / (1 - damping)
+                yield pa.RecordBatch.from_arrays([pa.array([a], pa.int32()), pa.array([p.tobytes()], pa.binary()), pa.array([weight.tobytes()], pa.binary()), pa.array([float(np.abs(weight - last).sum())])], names=["a", "p", "weight", "moved"])
+
+        state = self.spark.read.schema("p binary, weight binary, moved double, a int").parquet(path).select("a", "p")
+        up = state.mapInArrow(leave, "b int, a int, shares binary, tail double").repartition("b").sortWithinPartitions("b", "a")
+        back = up.mapInArrow(climb, "a int, b int, below binary").repartition("a").sortWithinPartitions("a", "b")
+        return self._write(back.mapInArrow(arrive, "a int, p binary, weight binary, moved double"))
+
+    def walk(self, most: int = MOST, every: int = 4) -> DataFrame:
+        """``a, idx, weight`` once no record moves any more, which is looked at after ``every`` steps."""
+        path = self.start()
+        for k in range(most):
+            path, before = self.step(path), path
+            discard(self.spark, before)
+            if k % every == every - 1:
+                self.spark.sparkContext._jvm.System.gc()  # lets the session drop the shuffles of finished steps
+                if (self.spark.read.parquet(path).agg(F.sum("moved")).first()[0] or 0.0) <= STILL:
+                    break
+
+        def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for a, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    weight = np.frombuffer(raw)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(weight), a), pa.int32()), pa.array(np.arange(len(weight)), pa.int32()), pa.array(weight)], names=["a", "idx", "weight"])
+
+        last = self.spark.read.schema("p binary, weight binary, moved double, a int").parquet(path).select("a", "weight")
+        return last.mapInArrow(unpack, "a int, idx int, weight double")
+
+
+def _in_blocks(rows: DataFrame, damping: float = DAMPING) -> DataFrame:
+    """The ranking of records that are cut into blocks."""
+    exchange = Exchange(rows.sparkSession, rows, damping)
+    weights = exchange.walk()
+    items = exchange.items.join(weights, ["a", "idx"]).join(F.broadcast(exchange.records), "doc_id")
+    ordered = items.withColumn("key", comparable_column("weight", "record_terms")).withColumn("one", F.lit(1)).repartitionByRange("doc_id", F.col("key").desc(), "term").withColumn("block", F.spark_partition_id())
+    placed = running_sum(written(ordered, "walk-order"), ["doc_id"], "block", [F.col("key").desc(), F.col("term")], "one", "above").withColumn("place", (F.col("above") + 1).cast("long"))
+    sheets = rows.groupBy("doc_id", "term").agg(F.collect_list(F.struct("scorer", "score")).alias("scores"))
+    placed = written(placed.join(sheets, ["doc_id", "term"]), "walk-places")
+    winners = _winners_of_blocks(placed)
+    columns = (F.col(c).cast("long").alias(c) for c in ("place", "scorers", "record_scorers", "record_terms"))
+    return placed.join(F.broadcast(winners), ["doc_id", "term"], "left").select("doc_id", "term", "weight", *columns, F.coalesce("winner", F.lit(False)).alias("winner"))
+
+
+LEAD = """aggregate({a}, 0, (n, x) -> n + aggregate({b}, 0, (m, y) -> m + case
+    when y.scorer <> x.scorer then 0 when x.score > y.score then 1 when x.score < y.score then -1 else 0 end))"""
+
+
+def _winners_of_blocks(placed: DataFrame) -> DataFrame:
+    """``doc_id, term, winner`` of the records of ``placed``, down the walk's order; at most a row for each record.
+
+    A round compares the record's candidate with all its items, and takes as the next one the first
+    of those that beat every candidate so far.
+    """
+    spark = placed.sparkSession
+    one = "struct<term:string,scores:array<struct<scorer:string,score:double>>>"
+    tried = spark.createDataFrame(placed.where("place = 1").select("doc_id", F.array(F.struct("term", "scores")).alias("tried")).collect(), f"doc_id string, tried array<{one}>")
+    won: list[tuple[str, str, bool]] = []
+    while True:
+        faced = placed.join(F.broadcast(tried), "doc_id").withColumn("now", F.expr("element_at(tried, -1)"))
+        beaten = F.expr(f"term = now.term or {LEAD.format(a='now.scores', b='scores')} > 0")
+        beats = F.expr(f"forall(tried, t -> {LEAD.format(a='scores', b='t.scores')} > 0)")
+        rounds = faced.groupBy("doc_id").agg(F.bool_and(beaten).alias("wins"), F.first("now.term").alias("term"), F.first("tried").alias("tried"), F.min_by(F.struct("term", "scores"), F.when(beats, F.col("place"))).alias("following"), F.bool_or(beats).alias("more"))
+        got = rounds.collect()
+        won += [(r["doc_id"], r["term"], True) for r in got if r["wins"]]
+        left = [(r["doc_id"], [*r["tried"], r["following"]]) for r in got if not r["wins"] and r["more"]]
+        if not left:
+            return spark.createDataFrame(won, "doc_id string, term string, winner boolean")
+        tried = spark.createDataFrame(left, f"doc_id string, tried array<{one}>")
+
+
+def rank_terms(scores: DataFrame, latest: str | None = None, shares: int = 4) -> DataFrame:
     """One order of the terms of every record: ``doc_id, term, weight, place, scorers, record_scorers, record_terms, winner``.
 
-    ``scores(doc_id, scorer, term, score)`` has one row per key. Rows with a null in the key or a
+    ``scores(doc_id, scorer, term, score)`` has one row per key, or, with ``latest``, counts by the
+    row of the greatest ``latest`` of each key (see ``newest``). Rows with a null in the key or a
     null or NaN score are left out; 0.0 and -0.0 are equal. ``weight`` is the stationary
     probability, ``place`` counts from 1 (equal weights by term in code-point order), ``scorers``
     is the number of scorers of the term, ``winner`` marks the term that beats each other term of
     its record under more scorers than it loses (at most one; a lone term is one). A record with
-    one scorer is ordered by that scorer alone. An empty table gives no rows.
+    one scorer is ordered by that scorer alone. An empty table gives no rows. Records with more
+    than 1 / (shares * shuffle partitions) of all rows are cut into blocks.
     """
-    rows = _numeric(scores)
-    large = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > local).select("doc_id")
-    large = written(large, "walk-large")
+    spark = scores.sparkSession
+    parts = shares * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    key = ["doc_id", "scorer", "term"]
+    present = scores.where("doc_id is not null and scorer is not null and term is not null")
+    raw = present.select(F.col("doc_id").cast("string").alias("doc_id"), "scorer", "term", (F.col("score").cast("double") + F.lit(0.0)).alias("score"), *([F.col(latest).alias("at")] if latest else []))
+    sizes = written(raw.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "walk-sizes")
+    total = sizes.agg(F.sum("n").alias("total"))
+    # at most ``parts`` rows
+    large = sizes.crossJoin(F.broadcast(total)).where(F.col("n") * parts > F.col("total")).select("doc_id")
+
+    def settled(part: DataFrame) -> DataFrame:
+        return _numeric(newest(part, key, "score", "at") if latest else part)
+
+    small = _in_task(settled(raw.join(F.broadcast(large), "doc_id", "left_anti").repartition("doc_id")))
     if large.isEmpty():
-        return _local(rows)
-    return _local(rows.join(large, "doc_id", "left_anti")).unionByName(_distributed(rows.join(large, "doc_id", "left_semi")))
+        return small
+    wide = written(settled(raw.join(F.broadcast(large), "doc_id", "left_semi").repartition(*key)), "walk-rows")
+    if wide.isEmpty():
+        return small
+    return small.unionByName(_in_blocks(wide))

@@ -14,16 +14,15 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from urllib.parse import unquote, urlparse
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from termloom.functions.arrow_groups import key_codes, runs
+from termloom.llm.files import system
 from termloom.session import shared_path, written
 from termloom.sources.tables import newest, spread
 
@@ -31,14 +30,6 @@ from termloom.sources.tables import newest, spread
 ROWS = 2048
 
 
-def _system(uri: str) -> tuple[pafs.FileSystem, str]:
-    """The file system of a URI, local or remote as far as pyarrow knows it, and the path there."""
-    parsed = urlparse(uri)
-    if parsed.scheme in ("", "file"):
-        return pafs.LocalFileSystem(), unquote(parsed.path)
-    return pafs.FileSystem.from_uri(uri)
-
-
 def _group_starts(rows: pa.Table, groups: list[str]) -> np.ndarray:
     codes = np.zeros(rows.num_rows, dtype=np.int64)
     for c in groups:
@@ -64,7 +55,7 @@ class Clustered:
     def add(self, table: pa.Table, next_key: tuple | None) -> None:
         """Write one row group; ``next_key`` is the group of the row that follows it."""
         if self.writer is None:
-            fs, path = _system(self.uri)
+            fs, path = system(self.uri)
             fs.create_dir(path.rpartition("/")[0], recursive=True)
             self.sink = fs.open_output_stream(path)
             self.writer = pq.ParquetWriter(self.sink, table.schema.remove(table.schema.get_field_index("sliced")), compression="snappy")
@@ -189,7 +180,7 @@ def top_n_per_group(df: DataFrame, groups: list[str], item: str, score: str, n:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file in batch.to_pylist():
-                fs, path = _system(file["uri"])
+                fs, path = system(file["uri"])
                 with fs.open_input_file(path) as source:
                     for _, found in read_top(pq.ParquetFile(source), file["plan"], keys, n):
                         if found is not None:

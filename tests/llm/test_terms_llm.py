@@ -344,7 +344,7 @@ def test_outstanding_term_of_the_background(spark):
 
 # --- problem 7
 
-def brute_walk(rows, damping=rank_walk.DAMPING, steps=rank_walk.STEPS):
+def brute_walk(rows, damping=rank_walk.DAMPING, steps=60):
     scores = defaultdict(dict)
     for _, s, t, v in rows:
         scores[s][t] = v
@@ -365,11 +365,12 @@ def brute_walk(rows, damping=rank_walk.DAMPING, steps=rank_walk.STEPS):
     return weight, winner
 
 
-@pytest.mark.parametrize("local", [10**6, 25])
-def test_rank_walk(spark, local):
+@pytest.mark.parametrize("shares", [0.01, 1, 10**6])
+def test_rank_walk(spark, shares):
+    # shares: no record, some, or every record is cut into blocks
     rng = random.Random(10)
     rows = []
-    for d in range(6 if local > 25 else 3):
+    for d in range(6):
         for s in ("w", "x", "y", "z")[: rng.randrange(1, 5) if d else 4]:
             for t in range(20 if d % 2 == 0 else 5):
                 if rng.random() < 0.8:
@@ -377,7 +378,7 @@ def test_rank_walk(spark, local):
     dirt = [(None, "w", "t", 1.0), ("d0", None, "t", 1.0), ("d0", "w", None, 1.0), ("d0", "w", "q", None), ("d0", "w", "r", NAN)]
     df = spark.createDataFrame(rows + dirt, "doc_id string, scorer string, term string, score double").withColumn("weight", F.lit(1))
     got = defaultdict(dict)
-    for r in rank_terms(df, local).collect():
+    for r in rank_terms(df, shares=shares).collect():
         got[r["doc_id"]][r["term"]] = r
     for d in {r[0] for r in rows}:
         weight, winner = brute_walk([r for r in rows if r[0] == d])
@@ -388,12 +389,12 @@ def test_rank_walk(spark, local):
         assert [got[d][t]["place"] for t in order] == list(range(1, len(order) + 1))
 
 
-@pytest.mark.parametrize("local", [10**6, 1000])
-def test_rank_walk_of_many_terms_keeps_different_weights_apart(spark, local):
+@pytest.mark.parametrize("shares", [0.01, 4])
+def test_rank_walk_of_many_terms_keeps_different_weights_apart(spark, shares):
     n = 30_000
     scores = np.random.default_rng(11).permuted(np.tile(np.arange(n), (4, 1)), axis=1)
     df = spark.createDataFrame(pa.table({"doc_id": ["d"] * 4 * n, "scorer": np.repeat(list("wxyz"), n), "term": [f"t{i:05}" for i in range(n)] * 4, "score": scores.ravel().astype(float)}))
-    got = rank_terms(df, local).select("weight", "place").orderBy("place").toPandas()
+    got = rank_terms(df, shares=shares).select("weight", "place").orderBy("place").toPandas()
     weight = got["weight"].to_numpy()
     assert got["place"].tolist() == list(range(1, n + 1))
     assert len(np.unique(np.round(weight, rank_walk.DIGITS))) < len(np.unique(weight))
@@ -408,5 +409,25 @@ def test_rounded_weights_are_those_of_the_tables(spark):
     assert tops[0] == tops[1] < tops[2]
 
 
+def test_the_walk_puts_winners_first():
+    rng = np.random.default_rng(14)
+    n, k = 400, 12
+    quality = rng.random((n, k))
+    score = (quality[:, None, :] + 0.15 * rng.random((n, 4, k))).ravel()
+    doc, scorer, term = np.repeat(np.arange(n), 4 * k), np.tile(np.repeat(np.arange(4), k), n), np.tile(np.arange(k), 4 * n)
+    w = rank_walk.Walk(doc, term, scorer, score)
+    of = np.repeat(np.arange(n), w.doc_size)
+
+    def first_places(most):
+        order = np.lexsort((-w.stationary(most=most), w.item_doc))
+        won = w.winners(order)
+        return won, int(won[order[w.doc_start]].sum())
+
+    won, first = first_places(200)
+    same, chance = first_places(0)
+    assert (won == same).all() and len(of) == n * k
+    assert won.sum() > 300 and first >= 0.95 * won.sum() and chance < 0.3 * won.sum()
+
+
 def test_rank_walk_of_nothing(spark):
     assert rank_terms(spark.createDataFrame([], "doc_id string, scorer string, term string, score double")).collect() == []
