@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from termloom.llm.distinctive import distinctive_terms, outstanding_terms
 from termloom.llm.heavy_items import frequent_items
+from termloom.llm.lines import shared_lines
 from termloom.llm.mixing import mix_sources
 from termloom.llm.pieces import split_oversized
 from termloom.llm.rank_walk import rank_terms
@@ -108,6 +109,10 @@ def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition_shares(table(spark, sf_dir, "documents"))
 
 
+def p10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_lines(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
@@ -127,6 +132,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p9_shares": p9_shares,
         "p10_found": p10_found,
         "p10_shares": p10_shares,
+        "p10_lines": p10_lines,
     }
 
 
@@ -157,6 +163,16 @@ REPETITION = r"""
                       case when len(s) > 0 then coalesce(n, 0) / len(s) else 0.0 end::double as share from r left join covered using (doc_id))
 """
 
+SPACE = r"\s\x1c-\x1f\x85\p{Z}"
+SHARED_LINES = rf"""
+    with each as (select doc_id, source, unnest(list_filter(list_transform(string_split_regex(text, '\r\n|[\n\r\x0b\x0c\x{{85}}\x{{2028}}\x{{2029}}]'),
+                         lambda x: trim(regexp_replace(lower(x), '[{SPACE}]+', ' ', 'g'))), lambda x: x <> '')) as line from documents),
+    common as (select source, line from (select distinct doc_id, source, line from each) group by source, line having count(*) > 10),
+    lost as (select each.doc_id, count(*) as n_lines, sum(len(each.line))::bigint as n_chars, count(common.line) as removed_lines, coalesce(sum(case when common.line is not null then len(each.line) end), 0)::bigint as removed_chars
+             from each left join common on common.line = each.line and common.source is not distinct from each.source group by each.doc_id)
+    select doc_id, coalesce(n_lines, 0) as n_lines, coalesce(lost.n_chars, 0) as n_chars, coalesce(removed_lines, 0) as removed_lines, coalesce(removed_chars, 0) as removed_chars,
+           coalesce(lost.n_chars - removed_chars < 0.5 * lost.n_chars, false) as rejected from documents left join lost using (doc_id)"""
+
 SCORES_IN_FORCE = """
     select doc_id, scorer, term, score from terms
     where doc_id is not null and scorer is not null and term is not null
@@ -199,4 +215,5 @@ def oracle_sql() -> dict[str, str]:
             select doc_id, term from won join r using (doc_id) where n = k - 1""",
         "p10_found": REPETITION + " select doc_id from shares where n_chars > 0 and repeated_chars >= 0.3 * n_chars",
         "p10_shares": REPETITION + " select doc_id, n_chars, repeated_chars, share from shares",
+        "p10_lines": SHARED_LINES,
     }

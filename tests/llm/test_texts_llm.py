@@ -5,6 +5,7 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
+from termloom.llm.lines import shared_lines
 from termloom.llm.mixing import mix_sources
 from termloom.llm.pieces import StrongestCut, split_oversized, split_text, strengths
 from termloom.llm.repetition import repeated_characters, repetition, repetition_shares, window_hashes
@@ -286,3 +287,18 @@ def test_repetition_rows(spark):
     got = sorted((r["doc_id"], round(r["share"], 3)) for r in repetition_shares(df).collect())
     assert got[0] == (1, 0.0) and got[1][1] > 0.9 and got[2:] == [(2, 0.0), (3, 0.0), (4, 0.0)]
     assert repetition_shares(df.limit(0)).collect() == []
+
+
+def test_shared_lines(spark):
+    footer = "Read  MORE here"
+    rows = [(i, f"Own text number {i}.\n{footer}\r\n\n  ", "a") for i in range(12)]
+    rows += [(20, f"{footer}\n{footer}\nread more\u00a0here", "a"), (21, footer, "b"), (22, footer, None), (23, None, "a"), (24, "", None), (25, " \n ", "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("line", F.lit("x")).withColumn("n_chars", F.lit(1))
+    got = {r["doc_id"]: r for r in shared_lines(df).collect()}
+    assert len(got) == len(rows)
+    assert all((got[i]["n_lines"], got[i]["removed_lines"], got[i]["removed_chars"], got[i]["rejected"]) == (2, 1, 14, False) for i in range(12))
+    assert (got[20]["n_lines"], got[20]["removed_lines"], got[20]["rejected"]) == (3, 3, True)
+    assert [got[i]["removed_lines"] for i in (21, 22, 23, 24, 25)] == [0] * 5 and [got[i]["n_lines"] for i in (21, 22, 23, 24, 25)] == [1, 1, 0, 0, 0]
+    assert not any(got[i]["rejected"] for i in (21, 22, 23, 24, 25))
+    assert {r["doc_id"]: r["removed_lines"] for r in shared_lines(df, most=12, keep=0.0).collect()}[20] == 3
+    assert shared_lines(df.limit(0)).collect() == []
