@@ -32,8 +32,11 @@ REFERENCE = rf"""
 BASE = f"with {FORCE}, {NDOCS}, {TOKENS}, {GRAMS}"
 SPAN_BASE = f"with {FORCE}, {SPANS}, {GRAMS}"
 NESTING = """
-    near as (select a.doc_id, a.term, b.term as container, b.cnt as other from counts a join counts b on a.doc_id = b.doc_id and a.term <> b.term and contains(b.term, a.term)
-             where a.term <> '' and b.term <> ''),
+    starts as (select doc_id, term, cnt, unnest(range(1, len(term) + 1)) as i from counts where len(term) between 1 and 60),
+    parts as (select doc_id, term as container, cnt as other, substring(term, i, unnest(range(1, len(term) - i + 2))) as term from starts),
+    near as (select distinct parts.doc_id, parts.term, container, other from parts join counts on counts.doc_id = parts.doc_id and counts.term = parts.term where parts.term <> container
+             union all
+             select a.doc_id, a.term, b.term, b.cnt from counts b join counts a on a.doc_id = b.doc_id and a.term <> b.term and contains(b.term, a.term) where len(b.term) > 60 and a.term <> ''),
     outer_ as (select doc_id, term, count(*) as n_containing, sum(other)::bigint as cnt_containing from near group by all),
     inner_ as (select doc_id, container as term, count(*) as n_contained from near group by all),
     nest as (select doc_id, term, cnt, coalesce(n_containing, 0)::bigint as n_containing, coalesce(cnt_containing, 0)::bigint as cnt_containing, coalesce(n_contained, 0)::bigint as n_contained,
