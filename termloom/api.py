@@ -56,7 +56,7 @@ class TermExtractor:
         mode = mode_of(corpus)
         if self.method == "weirdness" and mode == SPAN and self.settings["reference_corpus"].isEmpty():
             raise ValueError("the reference corpus is empty")
-        return Extraction(corpus, UNSUPERVISED[self.method](corpus, mode, self.settings), self.settings["n"], mode)
+        return Extraction(corpus, UNSUPERVISED[self.method](corpus, mode, self.settings), self.settings["n"], mode, self.method == "rake")
 
 
 class SupervisedTermExtractor:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from termloom.functions.text import once, words
 from termloom.operators.nesting import basic
-from termloom.operators.stats import above, document_count
+from termloom.operators.stats import above
+from termloom.session import written
 from termloom.sources.corpus import SPAN, mode_of, tokens
 
 TOP_TERMS, TOP_WORDS, WINDOW = 200, 50, 5
@@ -25,23 +26,22 @@ def _words_of(corpus: DataFrame, mode: str | None) -> DataFrame:
     return corpus.select("doc_id", once(words(F.col("text"))).alias("tokens"))
 
 
-def _as_array(df: DataFrame, column: str, name: str) -> DataFrame:
-    """A bounded list (top k) as one row with an array."""
-    return F.broadcast(df.select(column).distinct().agg(F.collect_set(column).alias(name)))
+def chosen(df: DataFrame, column: str) -> list[str]:
+    """The distinct values of a list of fixed length (TOP_TERMS, TOP_WORDS), on the driver."""
+    return sorted(r[0] for r in df.select(column).distinct().collect())
 
 
-def context_pairs(corpus: DataFrame, terms: DataFrame, window: int = WINDOW, mode: str | None = None) -> DataFrame:
-    """``term, word, cnt``: words within ``window`` positions of a word that is one of ``terms(term)``, with their counts.
+def context_pairs(corpus: DataFrame, terms: list[str], window: int = WINDOW, mode: str | None = None) -> DataFrame:
+    """``term, word, cnt``: words within ``window`` positions of a word that is one of ``terms``, with their counts.
 
-    ``terms`` is a top-k list; it travels with the tasks as one array, and the window is cut out of
+    ``terms`` is a top-k list; it travels with the plan as a hashed set, and the window is cut out of
     the document's own array, so the only shuffle is that of partial counts.
     """
-    rows = _words_of(corpus, mode).crossJoin(_as_array(terms, "term", "chosen"))
-    near = F.expr(
-        f"flatten(transform(filter(transform(tokens, (t, i) -> struct(t, i)), x -> array_contains(chosen, x.t)), x -> transform("
-        f"concat(slice(tokens, greatest(x.i - {window}, 0) + 1, least(x.i, {window})), slice(tokens, x.i + 2, {window})), c -> struct(x.t as term, c as word))))"
-    )
-    return rows.select(F.explode(near).alias("p")).groupBy("p.term", "p.word").agg(F.count(F.lit(1)).alias("cnt"))
+    rows = _words_of(corpus, mode)
+    hits = F.filter(F.transform("tokens", lambda t, i: F.struct(t.alias("t"), i.alias("i"))), lambda x: x["t"].isin(terms))
+    near = F.expr(f"flatten(transform(hits, x -> transform(concat(slice(tokens, greatest(x.i - {window}, 0) + 1, least(x.i, {window})), slice(tokens, x.i + 2, {window})), c -> struct(x.t as term, c as word))))")
+    found = rows.select("tokens", once(hits).alias("hits")).select(F.explode(near).alias("p"))
+    return found.groupBy("p.term", "p.word").agg(F.count(F.lit(1)).alias("cnt"))
 
 
 def context_counts(pairs: DataFrame) -> DataFrame:
@@ -55,36 +55,43 @@ def supported(counts: DataFrame, corpus: DataFrame) -> DataFrame:
     return counts.crossJoin(F.broadcast(least)).where("cnt >= least").drop("least")
 
 
-def context_words(pairs: DataFrame, terms: DataFrame, corpus: DataFrame, k: int = TOP_WORDS) -> DataFrame:
+def context_words(pairs: DataFrame, terms: list[str], corpus: DataFrame, k: int = TOP_WORDS) -> DataFrame:
     """``word, npmi``: the k supported words, themselves no terms, of highest positive mean NPMI with the terms.
 
     Standard NPMI from joint counts: ln(p(t, w) / (p(t) p(w))) / -ln p(t, w), 0 for a pair that
     never occurs and for p(t, w) = 1; the mean is over all terms.
     """
     by_term = pairs.groupBy("term").agg(F.sum("cnt").alias("t_cnt"))
-    by_word = supported(context_counts(pairs), corpus).withColumnRenamed("cnt", "w_cnt").join(F.broadcast(terms.select(F.col("term").alias("word")).distinct()), "word", "left_anti")
+    by_word = supported(context_counts(pairs), corpus).withColumnRenamed("cnt", "w_cnt").where(~F.col("word").isin(terms))
     total = F.broadcast(pairs.agg(F.sum("cnt").cast("double").alias("total")))
-    n_terms = F.broadcast(terms.select("term").distinct().agg(F.count(F.lit(1)).alias("n_terms")))
-    joint = pairs.join(F.broadcast(by_term), "term").join(by_word, "word").crossJoin(total).crossJoin(n_terms)
+    joint = pairs.join(F.broadcast(by_term), "term").join(by_word, "word").crossJoin(total)
     p = F.col("cnt") / F.col("total")
     value = F.when(p < 1, F.ln(p / (F.col("t_cnt") / F.col("total") * F.col("w_cnt") / F.col("total"))) / -F.ln(p)).otherwise(0.0)
-    scored = joint.groupBy("word", "n_terms").agg(F.sum(value).alias("s")).select("word", (F.col("s") / F.col("n_terms")).alias("npmi"))
+    scored = joint.groupBy("word").agg((F.sum(value) / max(len(terms), 1)).alias("npmi"))
     return scored.where("npmi > 0").orderBy(F.round("npmi", 9).desc(), "word").limit(k)
 
 
-def shared_documents(corpus: DataFrame, terms: DataFrame, context: DataFrame, mode: str | None = None) -> DataFrame:
+def shared_documents(corpus: DataFrame, terms: list[str], context: list[str], mode: str | None = None) -> DataFrame:
     """``term, word, n_term, n_word, n_both, n_docs``: documents with each term, each word and both.
 
-    One row for each term and word of the two top-k lists. Documents carry only the list members they hold.
+    One row for each term and word of the two top-k lists. One pass over the corpus: a document
+    carries only the list members it holds.
     """
-    rows = _words_of(corpus, mode).crossJoin(_as_array(terms, "term", "ts")).crossJoin(_as_array(context, "word", "ws"))
-    held = rows.select(F.array_distinct(F.array_intersect("tokens", "ts")).alias("ts"), F.array_distinct(F.array_intersect("tokens", "ws")).alias("ws"))
-    n_term = held.select(F.explode("ts").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    n_word = held.select(F.explode("ws").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n_word"))
-    both = held.select(F.explode("ts").alias("term"), "ws").select("term", F.explode("ws").alias("word")).groupBy("term", "word").agg(F.count(F.lit(1)).alias("n_both"))
-    grid = terms.select("term").distinct().crossJoin(F.broadcast(context.select("word").distinct()))
+    spark = corpus.sparkSession
+    text_list = lambda values: F.array(*map(F.lit, values)).cast("array<string>")
+    rows = _words_of(corpus, mode)
+    held = rows.select(once(F.struct(F.array_intersect("tokens", text_list(terms)).alias("ts"), F.array_intersect("tokens", text_list(context)).alias("ws"))).alias("h")).select("h.ts", "h.ws")
+    # the null of either list stands for "any", so one count gives all three
+    some = held.select(F.explode(F.concat("ts", F.array(F.lit(None).cast("string")))).alias("term"), "ws").select("term", F.explode(F.concat("ws", F.array(F.lit(None).cast("string")))).alias("word"))
+    # at most one row more than terms times words
+    counts = written(some.groupBy("term", "word").agg(F.count(F.lit(1)).alias("n")), "shared")
+    n_term = counts.where("word is null and term is not null").select("term", F.col("n").alias("n_term"))
+    n_word = counts.where("term is null and word is not null").select("word", F.col("n").alias("n_word"))
+    n_docs = counts.where("term is null and word is null").select(F.col("n").cast("double").alias("n_docs"))
+    both = counts.where("term is not null and word is not null").withColumnRenamed("n", "n_both")
+    grid = spark.createDataFrame([(t, w) for t in terms for w in context], "term string, word string")
     filled = grid.join(F.broadcast(n_term), "term", "left").join(F.broadcast(n_word), "word", "left").join(F.broadcast(both), ["term", "word"], "left").na.fill(0, ["n_term", "n_word", "n_both"])
-    return filled.crossJoin(F.broadcast(document_count(corpus)))
+    return filled.crossJoin(F.broadcast(n_docs))
 
 
 def document_npmi(shared: DataFrame, compat: bool = False) -> DataFrame:
@@ -103,11 +110,11 @@ def domain_coherence(corpus: DataFrame, n: int = 1, window: int = WINDOW, thresh
     ``compat`` True keeps the formula whose context list is always empty: every top term scores 0.
     False uses standard NPMI throughout: the mean over the context words of the document NPMI.
     """
-    # tables of k rows: cut here so that the plan above them is not repeated
-    terms = corpus.sparkSession.createDataFrame(top_terms(corpus, n, TOP_TERMS, mode).select("term").distinct().collect(), "term string")
+    terms = chosen(top_terms(corpus, n, TOP_TERMS, mode), "term")
+    listed = corpus.sparkSession.createDataFrame([(t,) for t in terms], "term string")
     if compat:
-        return above(terms.withColumn("score", F.lit(0.0)), threshold)
-    pairs = context_pairs(corpus, terms, window, mode)
-    chosen = corpus.sparkSession.createDataFrame(context_words(pairs, terms, corpus).collect(), "word string, npmi double")
-    scores = document_npmi(shared_documents(corpus, terms, chosen, mode)).groupBy("term").agg(F.avg("npmi").alias("score"))
-    return above(terms.join(scores, "term", "left").na.fill(0.0, ["score"]), threshold)
+        return above(listed.withColumn("score", F.lit(0.0)), threshold)
+    pairs = written(context_pairs(corpus, terms, window, mode), "pairs")
+    words = chosen(context_words(pairs, terms, corpus), "word")
+    scores = document_npmi(shared_documents(corpus, terms, words, mode)).groupBy("term").agg(F.avg("npmi").alias("score"))
+    return above(listed.join(scores, "term", "left").na.fill(0.0, ["score"]), threshold)

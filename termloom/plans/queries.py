@@ -7,7 +7,6 @@ have words (span mode); the contrast corpus is reference_corpus without its repe
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 from termloom.functions.text import split_white
 from termloom.operators import coherence, nesting, rake, scorers, stats, supervised, tagging, topics
 from termloom.results import Extraction
+from termloom.session import written
 from termloom.sources.corpus import annotated, rejoined, tokens
 from termloom.sources.tables import records_in_force, table
 
@@ -58,44 +58,37 @@ def _stat(value: Callable[[Column, Column, Column], Column], name: str) -> Calla
     return query
 
 
-def _settings(spark: SparkSession, sf: str) -> list:
-    """The rows of the fixed settings table (five)."""
-    return table(spark, sf, "rake_settings").orderBy("settings_id").collect()
+def _rake(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    """A RAKE table under every row of the fixed settings table (five)."""
 
-
-def _each_setting(build: Callable[[DataFrame, list[str], list[str], float | None], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf: str) -> DataFrame:
-        corpus = texts(spark, sf)
-        parts = [build(corpus, r["stoplist"], r["delimiters"], r["threshold"]).withColumn("settings_id", F.lit(r["settings_id"])) for r in _settings(spark, sf)]
-        return rounded(reduce(DataFrame.unionByName, parts))
+        settings = [rake.Settings.of(r["settings_id"], r["stoplist"], r["delimiters"], r["threshold"]) for r in table(spark, sf, "rake_settings").collect()]
+        return rounded(rake.rake_table(texts(spark, sf), settings, name))
 
     return query
 
 
-def _linked(corpus: DataFrame, stops: list[str], marks: list[str], _: float | None) -> DataFrame:
-    return rake.linked_scores(corpus, rake.candidate_scores(rake.phrases(corpus, stops, marks)), stops)
-
-
-def _context_pairs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _context(spark: SparkSession, sf: str) -> tuple[DataFrame, list[str], DataFrame]:
+    """Corpus, top terms and their context pairs; the lists of fixed length and the pairs are made once."""
     corpus = texts(spark, sf)
-    terms = coherence.top_terms(corpus, N, mode="text")
+    terms = coherence.chosen(coherence.top_terms(corpus, N, mode="text"), "term")
     return corpus, terms, coherence.context_pairs(corpus, terms, mode="text")
 
 
 def _context_supported(spark: SparkSession, sf: str) -> DataFrame:
-    corpus, _, pairs = _context_pairs(spark, sf)
+    corpus, _, pairs = _context(spark, sf)
     return coherence.supported(coherence.context_counts(pairs), corpus)
 
 
 def _context_words(spark: SparkSession, sf: str) -> DataFrame:
-    corpus, terms, pairs = _context_pairs(spark, sf)
-    return rounded(coherence.context_words(pairs, terms, corpus))
+    corpus, terms, pairs = _context(spark, sf)
+    return rounded(coherence.context_words(written(pairs, "pairs"), terms, corpus))
 
 
 def _document_npmi(spark: SparkSession, sf: str) -> DataFrame:
-    corpus, terms, pairs = _context_pairs(spark, sf)
-    shared = coherence.shared_documents(corpus, terms, coherence.context_words(pairs, terms, corpus), "text")
-    return rounded(coherence.document_npmi(shared))
+    corpus, terms, pairs = _context(spark, sf)
+    words = coherence.chosen(coherence.context_words(written(pairs, "pairs"), terms, corpus), "word")
+    return rounded(coherence.document_npmi(coherence.shared_documents(corpus, terms, words, "text")))
 
 
 def _terms(spark: SparkSession, sf: str) -> DataFrame:
@@ -158,20 +151,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "cvalue": _scorer(lambda s, d: nesting.cvalue(texts(s, d), N)),
     "cvalue_span": _scorer(lambda s, d: nesting.cvalue(spans(s, d), N)),
     "basic_top200": _scorer(lambda s, d: coherence.top_terms(texts(s, d), N, mode="text")),
-    "context_pairs": lambda s, d: _context_pairs(s, d)[2],
-    "context_counts": lambda s, d: coherence.context_counts(_context_pairs(s, d)[2]),
+    "context_pairs": lambda s, d: _context(s, d)[2],
+    "context_counts": lambda s, d: coherence.context_counts(_context(s, d)[2]),
     "context_support_filter": _context_supported,
     "context_words": _context_words,
     "codoc_npmi": _document_npmi,
     "domain_coherence_compat": lambda s, d: coherence.domain_coherence(texts(s, d), N, mode="text"),
     "domain_coherence_standard": _scorer(lambda s, d: coherence.domain_coherence(texts(s, d), N, mode="text", compat=False)),
-    "rake_chunks": _each_setting(lambda c, stops, marks, _: c.select("doc_id", F.posexplode(rake.chunks(F.col("text"), marks)).alias("pos", "chunk"))),
-    "rake_phrases": _each_setting(lambda c, stops, marks, _: rake.phrases(c, stops, marks).select("doc_id", F.array_join("words", "|").alias("phrase")).groupBy("doc_id", "phrase").agg(F.count(F.lit(1)).alias("n"))),
-    "rake_word_scores": _each_setting(lambda c, stops, marks, _: rake.word_scores(rake.phrases(c, stops, marks))),
-    "rake_scores": _each_setting(lambda c, stops, marks, _: rake.candidate_scores(rake.phrases(c, stops, marks))),
-    "rake_linked": _each_setting(_linked),
-    "rake": _each_setting(lambda c, stops, marks, threshold: rake.rake(c, stops, marks, threshold)),
-    "rake_offsets": _each_setting(lambda c, stops, marks, threshold: rake.rake_offsets(c, rake.rake(c, stops, marks, threshold))),
+    "rake_chunks": _rake("chunks"),
+    "rake_phrases": _rake("phrases"),
+    "rake_word_scores": _rake("word_scores"),
+    "rake_scores": _rake("scores"),
+    "rake_linked": _rake("linked"),
+    "rake": _rake("terms"),
+    "rake_offsets": _rake("offsets"),
     "label_join": lambda s, d: supervised.with_labels(_terms(s, d), labels(s, d)).select("term", "label"),
     "label_join_normalized": lambda s, d: supervised.with_labels(_terms(s, d), labels(s, d), True).select("term", "label"),
     "mi3_feature": _scorer(lambda s, d: _terms(s, d).select("term", supervised.mi3(F.col("cf"), F.col("n_all")).alias("mi3")), 12),

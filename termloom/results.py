@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from termloom.operators.rake import rake_offsets
 from termloom.operators.stats import occurrences
 
 
 class Extraction:
     """``terms(doc_id, term, score)``, or ``terms(term, score)`` of a scorer with one list for the corpus."""
 
-    def __init__(self, corpus: DataFrame, terms: DataFrame, n: int = 1, mode: str = "text") -> None:
-        self.corpus, self.terms, self.n, self.mode = corpus, terms, n, mode
+    def __init__(self, corpus: DataFrame, terms: DataFrame, n: int = 1, mode: str = "text", in_text: bool = False) -> None:
+        """``in_text``: the terms are stretches of the lower-cased text rather than n-grams of its words."""
+        self.corpus, self.terms, self.n, self.mode, self.in_text = corpus, terms, n, mode, in_text
 
     @property
     def is_global(self) -> bool:
@@ -40,6 +42,8 @@ class Extraction:
         """``doc_id, term, start, end`` of every occurrence of the document's terms; span mode only."""
         if self.mode != "span":
             raise ValueError("offsets need a span corpus")
+        if self.in_text:
+            return rake_offsets(self.corpus, self.per_document())
         keys = ["term"] if self.is_global else ["doc_id", "term"]
         return occurrences(self.corpus, self.n).join(self.terms.select(*keys), keys, "left_semi")
 

@@ -59,19 +59,36 @@ def test_rake_needs_a_delimiter(spark):
     assert rake.rake(from_list(spark, ["a (b) c"]), [], ["(", ")"]).count() == 3
 
 
+def test_offsets_of_rake_terms(spark):
+    rows = [("a", "Big Data of the big data mining", [(0, 3), (4, 8)]), ("b", None, [(0, 1)]), ("c", "x", None)]
+    corpus = spark.createDataFrame(rows, "doc_id string, text string, words array<struct<start:int,end:int>>")
+    result = TermExtractor("rake", stoplist=["of", "the"], phrase_delimiters=[" "]).extract(corpus)
+    found = {(r["doc_id"], r["term"], r["start"], r["end"]) for r in result.offsets().collect()}
+    assert {("a", "big data", 0, 8), ("a", "big data mining", 16, 31), ("c", "x", 0, 1)} <= found
+    layer = {r["doc_id"]: r["terms"] for r in result.with_layer().collect()}
+    assert layer["b"] is None and ("big data", 0, 8) in [tuple(t) for t in layer["a"]]
+
+
+def test_places_do_not_overlap_and_are_found_in_one_pass(monkeypatch):
+    text = "aaaa abab b"
+    wanted = sorted((t, i, i + len(t)) for t in ("aa", "ab", "b", "bab") for i in [m.start() for m in re.finditer(re.escape(t), text)])
+    assert sorted(rake.places(text, ["aa", "ab", "b", "bab", "", "zz"])) == wanted
+    monkeypatch.setattr(rake, "ahocorasick", None)
+    assert sorted(rake.places(text, ["aa", "ab", "b", "bab", "", "zz"])) == wanted
+
+
 def test_coherence(spark):
     texts = ["alpha beta gamma delta", "alpha beta", "gamma delta alpha", "beta gamma", ""]
     corpus = from_list(spark, texts)
     top = coherence.top_terms(corpus, 1, 3).collect()
     assert len(top) == 3
-    terms = spark.createDataFrame([("alpha",), ("alpha",)], "term string")
+    terms = ["alpha"]
     pairs = {(r["term"], r["word"]): r["cnt"] for r in coherence.context_pairs(corpus, terms, 1).collect()}
     assert pairs == {("alpha", "beta"): 2, ("alpha", "delta"): 1}
     assert all(r["score"] == 0 for r in TermExtractor("domaincoherence", n=1).extract(corpus).per_document().collect())
     scores = coherence.domain_coherence(corpus, 1, compat=False).collect()
     assert scores and all(-1 - 1e-9 <= r["score"] <= 1 + 1e-9 for r in scores)
-    context = spark.createDataFrame([("beta", 0.1), ("none", 0.1)], "word string, npmi double")
-    shared = coherence.shared_documents(corpus, terms, context)
+    shared = coherence.shared_documents(corpus, terms, ["beta", "none"])
     npmi = {r["word"]: r["npmi"] for r in coherence.document_npmi(shared).collect()}
     assert npmi["none"] == 0 and math.isclose(npmi["beta"], math.log(0.4 / 0.36) / -math.log(0.4))
     assert TermExtractor("domaincoherence").extract(from_list(spark, [""])).terms.count() == 0
