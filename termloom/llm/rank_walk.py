@@ -30,12 +30,12 @@ from pyspark.sql import functions as F
 from termloom.functions.arrow_groups import key_codes, runs, whole_groups
 from termloom.functions.running import running_sum
 from termloom.llm.files import read_part
-from termloom.session import discard, shared_path, written
+from termloom.session import shared_path, written
 from termloom.sources.tables import newest
 
 DAMPING = 0.85
 #: The walk ends when the sum of all changes of a record's probabilities is at most STILL, or after MOST steps.
-STILL, MOST = 1e-11, 200
+STILL, MOST = 1e-10, 200
 #: Binary digits to which stationary probabilities are compared; equal ones are ordered by term.
 DIGITS, BITS = 12, 40
 #: Rows whose sums may be cumulated together; a longer segment stands alone.
@@ -212,6 +212,9 @@ def _each(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
             yield chunk.slice(s, e - s)
 
 
+STATE = "a int, p binary, weight binary, moved double"
+
+
 def _binary(values: np.ndarray, kind: str) -> bytes:
     return np.ascontiguousarray(values, dtype=kind).tobytes()
 
@@ -342,7 +345,7 @@ class Exchange:
 
         return read
 
-    def start(self) -> str:
+    def start(self) -> DataFrame:
         items_of = self._items_of()
 
         def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -351,39 +354,36 @@ class Exchange:
                     p = _binary(1.0 / items_of(a)[1], "<f8")
                     yield pa.RecordBatch.from_arrays([pa.array([a], pa.int32()), pa.array([p], pa.binary()), pa.array([p], pa.binary()), pa.array([1.0])], names=["a", "p", "weight", "moved"])
 
-        blocks = self.items.select("a").distinct()
-        return self._write(blocks.mapInArrow(first, "a int, p binary, weight binary, moved double"))
-
-    def _write(self, state: DataFrame) -> str:
-        path = shared_path(self.spark, "walk-state")
-        state.write.partitionBy("a").parquet(path)
-        return path
+        return self.items.select("a").distinct().mapInArrow(first, STATE)
 
-    def step(self, path: str) -> str:
-        """The state after one step from the state at ``path``."""
+    def steps(self, state: DataFrame, count: int) -> DataFrame:
+        """The state ``count`` steps later: two shuffles of packed sums each, in one job."""
         items_of, parts, goes_on, single, damping = self._items_of(), self.parts, self.goes_on, self.single, self.damping
         score_files, link_files = self.score_files, self.link_files
 
-        def leave(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for a, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    scorers, _, links = items_of(a)
-                    leaving = np.frombuffer(raw) / scorers
-                    shares: dict[int, bytes] = {}
-                    opening = dict.fromkeys(range(parts), 0.0)
-                    for b, (idx, higher, first) in links.items():
-                        share = np.where(higher > 0, leaving[idx] / np.maximum(higher, 1), 0.0)
-                        shares[b], opening[b] = share.tobytes(), float(share[first > 0].sum())
-                    tail = dict.fromkeys(range(parts), 0.0)  # what flows into a block's last scorer from later blocks
-                    for b in range(parts - 1, -1, -1):
-                        if (k := goes_on.get(b)) is not None:
-                            tail[b] = opening[k] + (tail[k] if k in single else 0.0)
-                    sent = [b for b in range(parts) if b in shares or tail[b]]
-                    yield pa.RecordBatch.from_arrays([pa.array(sent, pa.int32()), pa.array([a] * len(sent), pa.int32()), pa.array([shares.get(b, b"") for b in sent], pa.binary()), pa.array([tail[b] for b in sent], pa.float64())], names=["b", "a", "shares", "tail"])
+        def leave(a: int, p: np.ndarray, weight: np.ndarray, scorers: np.ndarray, links: dict[int, np.ndarray]) -> pa.RecordBatch:
+            """Messages of an item block to the score blocks, and its own state, which passes by them under a negative number."""
+            leaving = p / scorers
+            shares: dict[int, bytes] = {}
+            opening = dict.fromkeys(range(parts), 0.0)
+            for b, (idx, higher, first) in links.items():
+                share = np.where(higher > 0, leaving[idx] / np.maximum(higher, 1), 0.0)
+                shares[b], opening[b] = share.tobytes(), float(share[first > 0].sum())
+            tail = dict.fromkeys(range(parts), 0.0)  # what flows into a block's last scorer from later blocks
+            for b in range(parts - 1, -1, -1):
+                if (k := goes_on.get(b)) is not None:
+                    tail[b] = opening[k] + (tail[k] if k in single else 0.0)
+            sent = [b for b in range(parts) if b in shares or tail[b]]
+            rows = [(b, shares.get(b, b""), tail[b]) for b in sent] + [(-1 - a, p.tobytes() + weight.tobytes(), 0.0)]
+            b, body, sums = zip(*rows)
+            return pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array([a] * len(rows), pa.int32()), pa.array(body, pa.binary()), pa.array(sums, pa.float64())], names=["b", "a", "shares", "tail"])
 
         def climb(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for chunk in _each(batches, "b"):
                 b = chunk.column("b")[0].as_py()
+                if b < 0:
+                    yield pa.RecordBatch.from_arrays([pa.array([-1 - b], pa.int32()), pa.array([-1], pa.int32()), pa.array([chunk.column("shares")[0].as_py()], pa.binary())], names=["a", "b", "below"])
+                    continue
                 after_tie, segment_end = np.frombuffer(read_part(f"{score_files}/block={b}")[0]["body"], dtype="<i4").reshape(2, -1)
                 n = len(after_tie)
                 places = {r["a"]: np.frombuffer(r["pos"], dtype="<i4") for r in read_part(f"{link_files}/b={b}")}
@@ -397,35 +397,51 @@ class Exchange:
                 below = (sums[after_tie] - sums[segment_end]).astype(float) + np.where(segment_end == n, tail, 0.0)
                 yield pa.RecordBatch.from_arrays([pa.array(list(places), pa.int32()), pa.array([b] * len(places), pa.int32()), pa.array([below[x].tobytes() for x in places.values()], pa.binary())], names=["a", "b", "below"])
 
-        def arrive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def arrive(chunk: pa.Table) -> tuple:
+            a = chunk.column("a")[0].as_py()
+            scorers, size, links = items_of(a)
+            bodies = dict(zip(chunk.column("b").to_pylist(), chunk.column("below").to_pylist()))
+            before, last = np.frombuffer(bodies.pop(-1)).reshape(2, -1)
+            got = np.zeros(len(before))
+            for b, raw in bodies.items():
+                idx, higher, _ = links[b]
+                got += np.bincount(idx, weights=np.frombuffer(raw) + np.where(higher > 0, 0.0, (before / scorers)[idx]), minlength=len(got))
+            p = damping * got + (1 - damping) / size
+            weight = (p - damping * before) / (1 - damping)
+            return a, p, weight, float(np.abs(weight - last).sum()), scorers, links
+
+        def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for a, p, weight in zip(*(batch.column(c).to_pylist() for c in ("a", "p", "weight"))):
+                    scorers, _, links = items_of(a)
+                    yield leave(a, np.frombuffer(p), np.frombuffer(weight), scorers, links)
+
+        def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for chunk in _each(batches, "a"):
-                a = chunk.column("a")[0].as_py()
-                scorers, size, links = items_of(a)
-                state = read_part(f"{path}/a={a}")[0]
-                before, last = np.frombuffer(state["p"]), np.frombuffer(state["weight"])
-                got = np.zeros(len(before))
-                for b, raw in zip(chunk.column("b").to_pylist(), chunk.column("below").to_pylist()):
-                    idx, higher, _ = links[b]
-                    got += np.bincount(idx, weights=np.frombuffer(raw) + np.where(higher > 0, 0.0, (before / scorers)[idx]), minlength=len(got))
-                p = damping * got + (1 - damping) / size
-                weight = (p - damping * before) / (1 - damping)
-                yield pa.RecordBatch.from_arrays([pa.array([a], pa.int32()), pa.array([p.tobytes()], pa.binary()), pa.array([weight.tobytes()], pa.binary()), pa.array([float(np.abs(weight - last).sum())])], names=["a", "p", "weight", "moved"])
-
-        state = self.spark.read.schema("p binary, weight binary, moved double, a int").parquet(path).select("a", "p")
-        up = state.mapInArrow(leave, "b int, a int, shares binary, tail double").repartition("b").sortWithinPartitions("b", "a")
-        back = up.mapInArrow(climb, "a int, b int, below binary").repartition("a").sortWithinPartitions("a", "b")
-        return self._write(back.mapInArrow(arrive, "a int, p binary, weight binary, moved double"))
-
-    def walk(self, most: int = MOST, every: int = 4) -> DataFrame:
+                a, p, weight, _, scorers, links = arrive(chunk)
+                yield leave(a, p, weight, scorers, links)
+
+        def end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for chunk in _each(batches, "a"):
+                a, p, weight, moved, _, _ = arrive(chunk)
+                yield pa.RecordBatch.from_arrays([pa.array([a], pa.int32()), pa.array([p.tobytes()], pa.binary()), pa.array([weight.tobytes()], pa.binary()), pa.array([moved])], names=["a", "p", "weight", "moved"])
+
+        message = "b int, a int, shares binary, tail double"
+        up = state.mapInArrow(begin, message)
+        for k in range(count):
+            climbed = up.repartition("b").sortWithinPartitions("b", "a").mapInArrow(climb, "a int, b int, below binary")
+            back = climbed.repartition("a").sortWithinPartitions("a", "b")
+            up = back.mapInArrow(turn, message) if k + 1 < count else back.mapInArrow(end, STATE)
+        return up
+
+    def walk(self, most: int = MOST, every: int = 8) -> DataFrame:
         """``a, idx, weight`` once no record moves any more, which is looked at after ``every`` steps."""
-        path = self.start()
-        for k in range(most):
-            path, before = self.step(path), path
-            discard(self.spark, before)
-            if k % every == every - 1:
-                self.spark.sparkContext._jvm.System.gc()  # lets the session drop the shuffles of finished steps
-                if (self.spark.read.parquet(path).agg(F.sum("moved")).first()[0] or 0.0) <= STILL:
-                    break
+        state = written(self.start(), "walk-state")
+        for _ in range(0, most, every):
+            state = written(self.steps(state, every), "walk-state")
+            self.spark.sparkContext._jvm.System.gc()  # lets the session drop the shuffles of finished steps
+            if (state.agg(F.sum("moved")).first()[0] or 0.0) <= STILL:
+                break
 
         def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -433,8 +449,7 @@ class Exchange:
                     weight = np.frombuffer(raw)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(weight), a), pa.int32()), pa.array(np.arange(len(weight)), pa.int32()), pa.array(weight)], names=["a", "idx", "weight"])
 
-        last = self.spark.read.schema("p binary, weight binary, moved double, a int").parquet(path).select("a", "weight")
-        return last.mapInArrow(unpack, "a int, idx int, weight double")
+        return state.select("a", "weight").mapInArrow(unpack, "a int, idx int, weight double")
 
 
 def _in_blocks(rows: DataFrame, damping: float = DAMPING) -> DataFrame:
