@@ -250,6 +250,46 @@ def test_frequent_items(spark):
     assert frequent_items(spark.createDataFrame([], "term string"), "term").collect() == []
 
 
+def test_small_shares_get_more_groups_or_an_error(spark):
+    items = [f"h{i}" for i in range(900) for _ in range(20)] + [f"r{i}" for i in range(2000)]
+    df = spark.createDataFrame([(x,) for x in items], "term string")
+    got = {r["term"]: r["n_rows"] for r in frequent_items(df, "term", 0.0009).collect()}
+    assert got == {f"h{i}": 20 for i in range(900)}
+    assert heavy_items.groups_for(0.005) == 1024 and heavy_items.groups_for(0.0009) > 4096
+    for share in (1e-5, 0.0):
+        with pytest.raises(ValueError):
+            frequent_items(df, "term", share)
+
+
+def test_what_is_left_in_a_group_is_bounded():
+    rng = np.random.default_rng(15)
+    sketch = np.zeros((heavy_items.REPEATS, 4, heavy_items.LENGTH, heavy_items.SYMBOLS), dtype=np.int64)
+    prints = np.repeat(rng.integers(0, heavy_items.MASK, 60), rng.integers(1, 200, 60))
+    heavy_items.add_to_sketch(sketch, prints)
+    counts = Counter(prints.tolist())
+    for r in range(heavy_items.REPEATS):
+        for g in range(4):
+            found, bound = heavy_items.decode_group(sketch[r, g], r, g, 4)
+            others = [n for v, n in counts.items() if v not in found and heavy_items.group_of(np.array([v]), r, 4)[0] == g]
+            assert bound >= max(others, default=0)
+            known = {v: n for v, n in counts.items() if v not in found and heavy_items.group_of(np.array([v]), r, 4)[0] == g}
+            assert heavy_items.decode_group(sketch[r, g], r, g, 4, known)[1] <= bound
+
+
+def test_collisions_are_hashed_anew(spark, monkeypatch):
+    df = spark.createDataFrame([(f"h{i % 3}",) for i in range(300)], "term string")
+    real, rounds = heavy_items.decoded, []
+
+    def blind(prints, groups, first=0):
+        rounds.append(first)
+        cells = real(prints, groups, first)
+        return cells if first else cells.withColumn("found", F.create_map().cast("map<bigint,bigint>")).withColumn("bound", F.col("total")).withColumn("counters", F.lit(np.tile(np.array([150, 150] + [0] * 14), 15).tobytes()))
+
+    monkeypatch.setattr(heavy_items, "decoded", blind)
+    wide = spark.createDataFrame([(f"h{i % 3}",) for i in range(300)], "term string")
+    assert {r["term"] for r in frequent_items(wide, "term", 0.2).collect()} == {"h0", "h1", "h2"} and rounds == [0, heavy_items.REPEATS] and df.count() == 300
+
+
 # --- problem 6
 
 def test_containers():
