@@ -7,6 +7,8 @@ which is exact on all terms; for T occurrences there are at most about sqrt(2 T)
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -103,6 +105,17 @@ class Tree:
             left = x[:, best[1]] <= best[2]
             self.split = (best[1], best[2], Tree(x[left], y[left], w[left], depth - 1), Tree(x[~left], y[~left], w[~left], depth - 1))
 
+    def state(self) -> list:
+        """The tree as nested lists."""
+        return [self.value] if self.split is None else [self.value, *self.split[:2], self.split[2].state(), self.split[3].state()]
+
+    @classmethod
+    def of(cls, state: list) -> Tree:
+        tree = cls.__new__(cls)
+        tree.value = state[0]
+        tree.split = (state[1], state[2], cls.of(state[3]), cls.of(state[4])) if len(state) > 1 else None
+        return tree
+
     def predict(self, x: np.ndarray) -> np.ndarray:
         if self.split is None:
             return np.full(len(x), self.value)
@@ -130,29 +143,75 @@ def boost(x: np.ndarray, y: np.ndarray, times: np.ndarray, max_depth: int = 1, n
     return trees
 
 
-def boosted_probability(trees: list[tuple[float, Tree]], x: np.ndarray, y: np.ndarray, times: np.ndarray) -> np.ndarray:
-    """P(label 1) of each row; the share of the label where no tree beats chance or there is one label."""
-    prior = float((y * times).sum() / max(times.sum(), 1))
+def boosted_probability(trees: list[tuple[float, Tree]], x: np.ndarray, prior: float) -> np.ndarray:
+    """P(label 1) of each row; ``prior``, the share of the label in training, where no tree beats chance or there is one label."""
     if not trees or prior in (0.0, 1.0):
         return np.full(len(x), prior)
     votes = sum(a * (2 * t.predict(x) - 1) for a, t in trees) / sum(a for a, _ in trees)
     return 1 / (1 + np.exp(-votes))
 
 
+def save_text(spark: SparkSession, path: str, state: dict) -> None:
+    """A fitted model as one line of JSON, on any file system the session knows."""
+    spark.createDataFrame([(json.dumps(state),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def load_text(spark: SparkSession, path: str) -> dict:
+    return json.loads(spark.read.text(path).first()[0])
+
+
+class BoostedTerms:
+    """AdaBoost over three features of a term; fitted on one corpus, applied to any."""
+
+    def __init__(self, n: int = 1, threshold: float | None = None, max_depth: int = 1, n_estimators: int = 50, estimator: str = "decision_tree", lexicon: DataFrame | None = None, normalize_labels: bool = False) -> None:
+        if estimator != "decision_tree":
+            raise ValueError(f"unknown estimator: {estimator}")
+        self.n, self.threshold, self.max_depth, self.n_estimators = n, threshold, max_depth, n_estimators
+        self.lexicon, self.normalize_labels = lexicon, normalize_labels
+        self.trees: list[tuple[float, Tree]] | None = None
+        self.prior = 0.0
+
+    NAMES = ("semantic", "greek_latin", "mi3")
+
+    def _rows(self, corpus: DataFrame, mode: str | None) -> DataFrame:
+        return boosting_features(corpus_terms(corpus, self.n, mode), self.lexicon)
+
+    def fit(self, corpus: DataFrame, labels: DataFrame, mode: str | None = None) -> BoostedTerms:
+        rows = with_labels(self._rows(corpus, mode), labels, self.normalize_labels)
+        classes = rows.groupBy("semantic", "greek_latin", "cf", "mi3", "label").agg(F.count(F.lit(1)).alias("times")).toPandas()
+        x, y, times = classes[list(self.NAMES)].to_numpy(float), classes["label"].to_numpy(int), classes["times"].to_numpy(float)
+        self.prior = float((y * times).sum() / max(times.sum(), 1))
+        self.trees = boost(x, y, times, self.max_depth, self.n_estimators) if len(classes) else []
+        return self
+
+    def predict(self, corpus: DataFrame, mode: str | None = None) -> DataFrame:
+        """``term, score``: the boosted probability of being a term; RuntimeError before ``fit``."""
+        if self.trees is None:
+            raise RuntimeError("the model has to be fitted first")
+        rows = self._rows(corpus, mode)
+        classes = rows.select("semantic", "greek_latin", "cf", "mi3").distinct().toPandas()
+        spark = corpus.sparkSession
+        if not len(classes):
+            return spark.createDataFrame([], "term string, score double")
+        score = boosted_probability(self.trees, classes[list(self.NAMES)].to_numpy(float), self.prior)
+        scored = spark.createDataFrame(classes[["semantic", "greek_latin", "cf"]].assign(score=score))
+        return above(rows.join(scored, ["semantic", "greek_latin", "cf"]).select("term", "score"), self.threshold)
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        """The fitted trees; settings and the lexicon are given anew when loading."""
+        if self.trees is None:
+            raise RuntimeError("the model has to be fitted first")
+        save_text(spark, path, {"prior": self.prior, "trees": [[a, t.state()] for a, t in self.trees]})
+
+    def load(self, spark: SparkSession, path: str) -> BoostedTerms:
+        state = load_text(spark, path)
+        self.prior, self.trees = state["prior"], [(a, Tree.of(t)) for a, t in state["trees"]]
+        return self
+
+
 def adaboost_terms(corpus: DataFrame, labels: DataFrame, n: int = 1, threshold: float | None = None, max_depth: int = 1, n_estimators: int = 50, estimator: str = "decision_tree", mode: str | None = None, lexicon: DataFrame | None = None, normalize_labels: bool = False) -> DataFrame:
     """``term, score``: the boosted probability of being a term, fitted and applied on the same corpus."""
-    if estimator != "decision_tree":
-        raise ValueError(f"unknown estimator: {estimator}")
-    names = ["semantic", "greek_latin", "mi3"]
-    rows = with_labels(boosting_features(corpus_terms(corpus, n, mode), lexicon), labels, normalize_labels)
-    classes = rows.groupBy("semantic", "greek_latin", "cf", "mi3", "label").agg(F.count(F.lit(1)).alias("times")).toPandas()
-    spark = corpus.sparkSession
-    if not len(classes):
-        return spark.createDataFrame([], "term string, score double")
-    x, y, times = classes[names].to_numpy(float), classes["label"].to_numpy(int), classes["times"].to_numpy(float)
-    score = boosted_probability(boost(x, y, times, max_depth, n_estimators), x, y, times)
-    scored = spark.createDataFrame(classes[["semantic", "greek_latin", "cf"]].assign(score=score).drop_duplicates(["semantic", "greek_latin", "cf"]))
-    return above(rows.join(scored, ["semantic", "greek_latin", "cf"]).select("term", "score"), threshold)
+    return BoostedTerms(n, threshold, max_depth, n_estimators, estimator, lexicon, normalize_labels).fit(corpus, labels, mode).predict(corpus, mode)
 
 
 def average_rank(score: np.ndarray, times: np.ndarray) -> np.ndarray:
@@ -178,33 +237,68 @@ def evolve(x: np.ndarray, y: np.ndarray, times: np.ndarray, population: int, gen
     return best
 
 
-def roger_terms(corpus: DataFrame, labels: DataFrame, n: int = 1, threshold: float | None = None, population_size: int = 50, generations: int = 100, subsample_ratio: float = 0.8, bags: int = 10, seed: int = 42, mode: str | None = None, normalize_labels: bool = False) -> DataFrame:
-    """``term, score``: the median of the bags' evolved linear functions of the nine features.
+class RogerTerms:
+    """The median of evolved linear functions of nine features of a term; fitted on one corpus, applied to any."""
+
+    def __init__(self, n: int = 1, threshold: float | None = None, population_size: int = 50, generations: int = 100, subsample_ratio: float = 0.8, bags: int = 10, seed: int = 42, normalize_labels: bool = False) -> None:
+        self.n, self.threshold, self.normalize_labels = n, threshold, normalize_labels
+        self.population_size, self.generations, self.subsample_ratio, self.bags, self.seed = population_size, generations, subsample_ratio, bags, seed
+        self.weights: np.ndarray | None = None
+
+    def fit(self, corpus: DataFrame, labels: DataFrame, mode: str | None = None) -> RogerTerms:
+        """Each bag draws ``subsample_ratio`` of the rows with replacement, as multinomial counts over the classes.
+
+        It is evolved in its own task with its own seed. A bag without a positive row ranks by its
+        first random function.
+        """
+        import pandas as pd
+
+        spark = corpus.sparkSession
+        rows = with_labels(corpus_terms(corpus, self.n, mode), labels, self.normalize_labels)
+        classes = rows.groupBy("cf", "n_all", "label").agg(F.count(F.lit(1)).alias("times")).orderBy("cf", "label")
+        featured = ranking_features(classes).toPandas()
+        if not len(featured):
+            self.weights = np.zeros((0, len(FEATURES)))
+            return self
+        shared = spark.sparkContext.broadcast((featured[list(FEATURES)].to_numpy(float), featured["label"].to_numpy(int), featured["times"].to_numpy(float)))
+        seed, ratio, population, generations = self.seed, self.subsample_ratio, self.population_size, self.generations
+
+        def bag(pdf: pd.DataFrame) -> pd.DataFrame:
+            x, y, times = shared.value
+            number = int(pdf["bag"].iloc[0])
+            rng = np.random.default_rng([seed, number])
+            drawn = rng.multinomial(max(1, int(times.sum() * ratio)), times / times.sum()).astype(float)
+            seen = drawn > 0
+            weights = evolve(x[seen], y[seen], drawn[seen], population, generations, rng)
+            return pd.DataFrame({"bag": [number], "weights": [weights.tolist()]})
+
+        bags = spark.range(self.bags).withColumnRenamed("id", "bag").repartition(self.bags).groupBy("bag")
+        models = bags.applyInPandas(bag, "bag long, weights array<double>").orderBy("bag").collect()
+        self.weights = np.array([r["weights"] for r in models])
+        return self
+
+    def predict(self, corpus: DataFrame, mode: str | None = None) -> DataFrame:
+        """``term, score``; RuntimeError before ``fit``."""
+        if self.weights is None:
+            raise RuntimeError("the model has to be fitted first")
+        spark = corpus.sparkSession
+        rows = corpus_terms(corpus, self.n, mode)
+        featured = ranking_features(rows.select("cf", "n_all").distinct()).toPandas()
+        if not len(featured) or not len(self.weights):
+            return spark.createDataFrame([], "term string, score double")
+        score = np.median(featured[list(FEATURES)].to_numpy(float) @ self.weights.T, axis=1)
+        return above(rows.join(spark.createDataFrame(featured[["cf"]].assign(score=score)), "cf").select("term", "score"), self.threshold)
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        if self.weights is None:
+            raise RuntimeError("the model has to be fitted first")
+        save_text(spark, path, {"weights": self.weights.tolist()})
+
+    def load(self, spark: SparkSession, path: str) -> RogerTerms:
+        self.weights = np.array(load_text(spark, path)["weights"]).reshape(-1, len(FEATURES))
+        return self
 
-    Each bag draws ``subsample_ratio`` of the rows with replacement, as multinomial counts over the
-    classes, and is evolved in its own task with its own seed. A bag without a positive row ranks by
-    its first random function.
-    """
-    import pandas as pd
-
-    spark = corpus.sparkSession
-    rows = with_labels(corpus_terms(corpus, n, mode), labels, normalize_labels)
-    classes = rows.groupBy("cf", "n_all", "label").agg(F.count(F.lit(1)).alias("times")).orderBy("cf", "label")
-    featured = ranking_features(classes).toPandas()
-    if not len(featured):
-        return spark.createDataFrame([], "term string, score double")
-    shared = spark.sparkContext.broadcast((featured[list(FEATURES)].to_numpy(float), featured["label"].to_numpy(int), featured["times"].to_numpy(float)))
-
-    def bag(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y, times = shared.value
-        number = int(pdf["bag"].iloc[0])
-        rng = np.random.default_rng([seed, number])
-        drawn = rng.multinomial(max(1, int(times.sum() * subsample_ratio)), times / times.sum()).astype(float)
-        seen = drawn > 0
-        weights = evolve(x[seen], y[seen], drawn[seen], population_size, generations, rng)
-        return pd.DataFrame({"bag": [number], "weights": [weights.tolist()]})
-
-    models = spark.range(bags).withColumnRenamed("id", "bag").repartition(bags).groupBy("bag").applyInPandas(bag, "bag long, weights array<double>").orderBy("bag").collect()
-    score = np.median([shared.value[0] @ np.array(r["weights"]) for r in models], axis=0)
-    scored = spark.createDataFrame(featured[["cf"]].assign(score=score).drop_duplicates("cf"))
-    return above(rows.join(scored, "cf").select("term", "score"), threshold)
+
+def roger_terms(corpus: DataFrame, labels: DataFrame, n: int = 1, threshold: float | None = None, population_size: int = 50, generations: int = 100, subsample_ratio: float = 0.8, bags: int = 10, seed: int = 42, mode: str | None = None, normalize_labels: bool = False) -> DataFrame:
+    """``term, score``: the median of the bags' evolved linear functions of the nine features, on the corpus they were fitted on."""
+    return RogerTerms(n, threshold, population_size, generations, subsample_ratio, bags, seed, normalize_labels).fit(corpus, labels, mode).predict(corpus, mode)

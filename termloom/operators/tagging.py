@@ -6,10 +6,13 @@ from collections.abc import Iterator
 from typing import Protocol
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+from pyspark.ml.feature import HashingTF
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from termloom.functions.text import once, sentences
+from termloom.session import written
 from termloom.sources.corpus import tokens
 
 try:
@@ -120,11 +123,69 @@ def align_tags(word_ids: list[int | None], tags: list[str], names: tuple[str, ..
 
 
 class Tagger(Protocol):
-    """A token classifier: fitted on tagged tokens, then a function of token lists inside the tasks."""
+    """A token classifier: fitted on tagged tokens, then a function of tokens in sentences.
+
+    ``tag`` takes ``(doc_id, sent_no, pos, token)``, of any documents, and adds ``tag``. A tagger may have ``save`` and
+    ``load`` as well.
+    """
 
     def fit(self, tagged: DataFrame) -> Tagger: ...
 
-    def predict(self, tokens: list[str]) -> list[str]: ...
+    def tag(self, each: DataFrame) -> DataFrame: ...
+
+
+class RegressionTagger:
+    """Multinomial logistic regression over a token, its shape and its neighbours, hashed to ``features`` columns.
+
+    Fitted on all tokens by ``epochs`` passes of the optimizer; the model is (3, features) weights,
+    whatever the data. Tagging is a plan without Python.
+    """
+
+    TAGS = (OUTSIDE, BEGIN, INSIDE)
+
+    def __init__(self, epochs: int = 30, features: int = 1 << 18, regularization: float = 1e-5) -> None:
+        self.epochs, self.features, self.regularization = epochs, features, regularization
+        self.model: LogisticRegressionModel | None = None
+
+    @property
+    def is_trained(self) -> bool:
+        return self.model is not None
+
+    def _vectors(self, each: DataFrame) -> DataFrame:
+        order = Window.partitionBy("doc_id", "sent_no").orderBy("pos")
+        low = F.lower("token")
+        near = {k: F.coalesce(F.lag(low, k).over(order) if k > 0 else F.lead(low, -k).over(order), F.lit("")) for k in (2, 1, -1, -2)}
+        shape = F.regexp_replace(F.regexp_replace(F.regexp_replace("token", r"\p{Lu}+", "X"), r"\p{Ll}+", "x"), r"\p{N}+", "9")
+        named = {"w": low, "p": near[1], "pp": near[2], "n": near[-1], "nn": near[-2], "pw": F.concat_ws(" ", near[1], low), "wn": F.concat_ws(" ", low, near[-1]), "pwn": F.concat_ws(" ", near[1], low, near[-1]), "s": F.right(low, F.lit(3)), "x": shape}
+        parts = F.array(*(F.concat(F.lit(f"{name}="), value) for name, value in named.items()))
+        return HashingTF(inputCol="_parts", outputCol="_features", numFeatures=self.features, binary=True).transform(each.withColumn("_parts", parts))
+
+    def fit(self, tagged: DataFrame) -> RegressionTagger:
+        number = F.coalesce(*(F.when(F.col("tag") == t, F.lit(float(i))) for i, t in enumerate(self.TAGS)))
+        rows = written(self._vectors(tagged).select("_features", number.alias("_label")), "tagger")
+        # a row of each tag without features, of next to no weight, so that every tag is known
+        spark = tagged.sparkSession
+        none = HashingTF(inputCol="_parts", outputCol="_features", numFeatures=self.features, binary=True).transform(spark.createDataFrame([([], float(i)) for i in range(len(self.TAGS))], "_parts array<string>, _label double"))
+        every = rows.withColumn("_weight", F.lit(1.0)).unionByName(none.select("_features", "_label").withColumn("_weight", F.lit(1e-6)))
+        learner = LogisticRegression(featuresCol="_features", labelCol="_label", weightCol="_weight", predictionCol="_tag", family="multinomial", maxIter=self.epochs, regParam=self.regularization, standardization=False)
+        self.model = learner.fit(every)
+        return self
+
+    def tag(self, each: DataFrame) -> DataFrame:
+        if self.model is None:
+            raise RuntimeError("the tagger has to be fitted first")
+        found = self.model.transform(self._vectors(each.select("doc_id", "sent_no", "pos", "token")))
+        names = F.array(*map(F.lit, self.TAGS))
+        return found.select("doc_id", "sent_no", "pos", "token", F.element_at(names, F.col("_tag").cast("int") + 1).alias("tag"))
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        if self.model is None:
+            raise RuntimeError("the tagger has to be fitted first")
+        self.model.write().overwrite().save(path)
+
+    def load(self, spark: SparkSession, path: str) -> RegressionTagger:
+        self.model = LogisticRegressionModel.load(path)
+        return self
 
 
 class LexiconTagger:
@@ -148,6 +209,10 @@ class LexiconTagger:
         self.tags = {(r["before"], r["token"]): r["tag"] for r in kept.collect()}
         return self
 
+    @property
+    def is_trained(self) -> bool:
+        return self.tags is not None
+
     def predict(self, tokens: list[str]) -> list[str]:
         if self.tags is None:
             raise RuntimeError("the tagger has to be fitted first")
@@ -157,27 +222,52 @@ class LexiconTagger:
             before = token
         return out
 
+    def tag(self, each: DataFrame) -> DataFrame:
+        if self.tags is None:
+            raise RuntimeError("the tagger has to be fitted first")
+        spark = each.sparkSession
+        before = F.coalesce(F.lag(F.lower("token")).over(Window.partitionBy("doc_id", "sent_no").orderBy("pos")), F.lit(""))
+        known = spark.createDataFrame([(b, t, tag) for (b, t), tag in self.tags.items()], "_before string, _token string, _tag string")
+        pairs, single = known.where("_before <> '*'"), known.where("_before = '*'").select("_token", F.col("_tag").alias("_single"))
+        rows = each.withColumn("_before", before).withColumn("_token", F.lower("token"))
+        found = rows.join(pairs, ["_before", "_token"], "left").join(single, "_token", "left")
+        return found.select("doc_id", "sent_no", "pos", "token", F.coalesce("_tag", "_single", F.lit(OUTSIDE)).alias("tag"))
+
 
 def predict_tags(sents: DataFrame, tagger: Tagger) -> DataFrame:
-    """``doc_id, sent_no, pos, token, tag`` by a fitted tagger."""
-    kind = sents.schema["doc_id"].dataType.simpleString()
-    if getattr(tagger, "tags", True) is None:
-        raise RuntimeError("the tagger has to be fitted first")
-    shared = sents.sparkSession.sparkContext.broadcast(tagger)
+    """``doc_id, sent_no, pos, token, tag`` of ``sents(doc_id, sent_no, tokens)`` by a fitted tagger; RuntimeError if it is not."""
+    return tagger.tag(sents.select("doc_id", "sent_no", F.posexplode("tokens").alias("pos", "token")))
 
-    def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            tags = [shared.value.predict(t or []) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(tags, pa.list_(pa.string()))], names=["doc_id", "sent_no", "tokens", "tags"])
 
-    tagged = sents.select("doc_id", "sent_no", "tokens").mapInArrow(tag, f"doc_id {kind}, sent_no int, tokens array<string>, tags array<string>")
-    zipped = tagged.select("doc_id", "sent_no", F.posexplode(F.arrays_zip("tokens", "tags")).alias("pos", "t"))
-    return zipped.select("doc_id", "sent_no", "pos", F.col("t.tokens").alias("token"), F.col("t.tags").alias("tag"))
+class TaggedTerms:
+    """Terms by a token classifier: fitted on the tags that a label table gives one corpus, applied to any."""
+
+    def __init__(self, n: int = 6, tagger: Tagger | None = None, epochs: int = 30) -> None:
+        self.n, self.tagger, self.is_trained = n, tagger or RegressionTagger(epochs), False
+
+    def fit(self, corpus: DataFrame, labels: DataFrame, mode: str = "text") -> TaggedTerms:
+        sents = span_sentences(corpus) if mode == "span" else text_sentences(corpus)
+        self.tagger = self.tagger.fit(bio_tags(sents, labels, self.n))
+        self.is_trained = True
+        return self
+
+    def predict(self, corpus: DataFrame, mode: str = "text") -> DataFrame:
+        """``doc_id, term, score``: predict, decode, and give each document the terms its text holds; score 1."""
+        if not (self.is_trained or getattr(self.tagger, "is_trained", False)):
+            raise RuntimeError("the model has to be fitted first")
+        sents = span_sentences(corpus) if mode == "span" else text_sentences(corpus)
+        terms = written(decode_terms(predict_tags(sents, self.tagger)).select("term").distinct(), "tagged")
+        return assign_terms(corpus, terms).withColumn("score", F.lit(1.0))
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        self.tagger.save(spark, path)
+
+    def load(self, spark: SparkSession, path: str) -> TaggedTerms:
+        self.tagger = self.tagger.load(spark, path)
+        self.is_trained = True
+        return self
 
 
-def tagged_terms(corpus: DataFrame, labels: DataFrame, n: int = 6, tagger: Tagger | None = None, mode: str = "text") -> DataFrame:
+def tagged_terms(corpus: DataFrame, labels: DataFrame, n: int = 6, tagger: Tagger | None = None, mode: str = "text", epochs: int = 30) -> DataFrame:
     """``doc_id, term, score``: tag by the labels, fit, predict, decode, and give each document the terms its text holds; score 1."""
-    sents = span_sentences(corpus) if mode == "span" else text_sentences(corpus)
-    fitted = (tagger or LexiconTagger()).fit(bio_tags(sents, labels, n))
-    terms = decode_terms(predict_tags(sents, fitted)).select("term").distinct()
-    return assign_terms(corpus, terms).withColumn("score", F.lit(1.0))
+    return TaggedTerms(n, tagger, epochs).fit(corpus, labels, mode).predict(corpus, mode)

@@ -137,8 +137,9 @@ def test_classes_stand_for_rows():
     x = rng.integers(0, 4, (200, 2)).astype(float)
     y = (x[:, 0] + rng.random(200) > 2.5).astype(int)
     keys, inverse, times = np.unique(np.column_stack((x, y)), axis=0, return_inverse=True, return_counts=True)
-    whole = supervised.boosted_probability(supervised.boost(x, y, np.ones(200), 2, 10), x, y, np.ones(200))
-    classes = supervised.boosted_probability(supervised.boost(keys[:, :2], keys[:, 2].astype(int), times.astype(float), 2, 10), keys[:, :2], keys[:, 2], times)
+    prior = float(y.mean())
+    whole = supervised.boosted_probability(supervised.boost(x, y, np.ones(200), 2, 10), x, prior)
+    classes = supervised.boosted_probability(supervised.boost(keys[:, :2], keys[:, 2].astype(int), times.astype(float), 2, 10), keys[:, :2], prior)
     assert np.allclose(whole, classes[inverse.reshape(-1)])
     assert ((whole > 0.5) == y).mean() > 0.8
     score = x[:, 0]
@@ -162,6 +163,54 @@ def test_supervised_methods(spark):
     assert all(r["score"] == 0 for r in SupervisedTermExtractor("adaboost", n=1).extract(corpus, nothing).terms.collect())
 
 
+@pytest.mark.parametrize("method", ["adaboost", "roger", "token-classification"])
+def test_fit_here_and_extract_there(spark, tmp_path, method):
+    settings = {"n": 2, "population_size": 6, "generations": 4}
+    train = from_list(spark, ["Machine learning is used in research. Deep learning is machine learning.", "The neural network is big. We saw a neural network work. Any neural network needs care."] * 3)
+    other = from_list(spark, ["A neural network needs machine learning.", "", None])
+    labels = spark.createDataFrame([("machine learning", 1), ("neural network", 1), ("other", 0)], "term string, label int")
+    fresh = SupervisedTermExtractor(method, **settings)
+    for call in (lambda: fresh.extract(other), lambda: fresh.save(str(tmp_path / "x"))):
+        with pytest.raises(RuntimeError):
+            call()
+    fitted = fresh.fit(train, labels)
+    assert fitted.is_trained
+    rows = sorted(map(tuple, fitted.extract(other).terms.collect()))
+    assert rows and len(fitted.extract(other).nested().collect()) == 3
+    fitted.save(str(tmp_path / "model"))
+    loaded = SupervisedTermExtractor(method, **settings).load(str(tmp_path / "model"))
+    assert sorted(map(tuple, loaded.extract(other).terms.collect())) == rows
+    if method == "token-classification":
+        assert {("doc_0", "machine learning", 1.0), ("doc_0", "neural network", 1.0)} <= set(rows)
+    else:
+        assert {r[0] for r in rows} == {"a", "neural", "network", "needs", "machine", "learning", "a neural", "neural network", "network needs", "needs machine", "machine learning"}
+
+
+def test_the_classifier_tags_words_it_has_not_seen(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for d in range(300):
+        seen = d < 200
+        name = f"{'Kor' if seen else 'Zul'}{rng.integers(0, 10**6)}ium"
+        for pos, (token, tag) in enumerate([("the", "n"), (f"x{rng.integers(0, 50)}", "n"), ("agent", "n"), (name, "B-T"), ("works", "n"), (".", "n")]):
+            rows.append((f"d{d}", 0, pos, token, tag))
+    df = spark.createDataFrame(rows, "doc_id string, sent_no int, pos int, token string, tag string")
+    train, held = df.where("int(substring(doc_id, 2)) < 200"), df.where("int(substring(doc_id, 2)) >= 200")
+    both = tagging.RegressionTagger(20, 1 << 12).fit(train).tag(held.drop("tag")).withColumnRenamed("tag", "got").join(held, ["doc_id", "sent_no", "pos", "token"])
+    assert both.count() == held.count() and both.where("got = tag").count() >= 0.98 * held.count()
+
+
+def test_semantic_feature_and_labels_through_the_facade(spark):
+    corpus = from_list(spark, ["big cell moves", "the cell"])
+    lexicon = spark.createDataFrame([("cell", 6)], "lemma string, n_synsets int")
+    labels = spark.createDataFrame([(" CELL ", 1)], "term string, label int")
+    scores = {r["term"]: r["score"] for r in SupervisedTermExtractor("adaboost", n=1, lexicon=lexicon, normalize_labels=True).extract(corpus, labels).terms.collect()}
+    assert max(scores, key=scores.get) == "cell" and scores["cell"] > 0.5
+    assert all(r["score"] == 0 for r in SupervisedTermExtractor("adaboost", n=1).extract(corpus, labels).terms.collect())
+    standard = TermExtractor("domaincoherence", n=1, compat=False).extract(from_list(spark, ["alpha beta gamma delta", "alpha beta", "gamma delta alpha"])).terms
+    assert standard.count() > 0
+
+
 def test_tagging(spark):
     sents = spark.createDataFrame([("d", 0, ["Big", "cat", "house", "cat"]), ("d", 1, [])], "doc_id string, sent_no int, tokens array<string>")
     labels = spark.createDataFrame([("cat",), ("big cat",), ("cat house",), (None,)], "term string")
