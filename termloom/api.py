@@ -103,7 +103,7 @@ class SupervisedTermExtractor:
         estimator: str = "decision_tree",
         threshold: float | None = None,
         tagger: tagging.Tagger | None = None,
-        epochs: int = 30,
+        epochs: int = 15,
         lexicon: DataFrame | None = None,
         normalize_labels: bool = False,
     ) -> None:

@@ -24,17 +24,25 @@ except ImportError:  # a slower search by substrings stands in
     ahocorasick = None
 
 
-def contained(terms: list[str]) -> list[set[int]]:
-    """For each of the distinct non-empty terms, the numbers of the other terms that lie in it."""
+#: Pairs of a batch that leaves a task.
+PAIRS = 50_000
+
+
+def contained(terms: list[str]) -> Iterator[set[int]]:
+    """For each of the distinct non-empty terms in turn, the numbers of the other terms that lie in it."""
     if ahocorasick is None:
         number = {t: i for i, t in enumerate(terms)}
         lengths = sorted({len(t) for t in terms})
-        return [{number[s] for k in lengths if k < len(t) for a in range(len(t) - k + 1) if (s := t[a : a + k]) in number} for t in terms]
+        for t in terms:
+            yield {number[s] for k in lengths if k < len(t) for a in range(len(t) - k + 1) if (s := t[a : a + k]) in number}
+        return
     automaton = ahocorasick.Automaton()
     for i, t in enumerate(terms):
         automaton.add_word(t, i)
-    automaton.make_automaton()
-    return [{j for _, j in automaton.iter(t)} - {i} for i, t in enumerate(terms)]
+    if terms:
+        automaton.make_automaton()
+    for i, t in enumerate(terms):
+        yield {j for _, j in automaton.iter(t)} - {i}
 
 
 def _grams(corpus: DataFrame, n: int, mode: str | None) -> DataFrame:
@@ -57,14 +65,15 @@ def nesting(corpus: DataFrame, n: int = 1, mode: str | None = None) -> DataFrame
                 counts = Counter(grams or ())
                 terms, cnt = list(counts), list(counts.values())
                 containing, weight = [0] * len(terms), [0] * len(terms)
-                inside = contained(terms)
-                for i, found in enumerate(inside):
+                inside = []
+                for i, found in enumerate(contained(terms)):
+                    inside.append(len(found))
                     for j in found:
                         containing[j] += 1
                         weight[j] += cnt[i]
                 owner += [row] * len(terms)
                 names += terms
-                for column, values in zip(columns, (cnt, containing, weight, map(len, inside))):
+                for column, values in zip(columns, (cnt, containing, weight, inside)):
                     column.extend(values)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(owner, pa.int64())), pa.array(names, pa.string()), *(pa.array(c, pa.int64()) for c in columns)],
@@ -80,17 +89,25 @@ def containment_pairs(corpus: DataFrame, n: int = 1, mode: str | None = None) ->
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            owner: list[int] = []
+            inner: list[str] = []
+            outer: list[str] = []
+
+            def out() -> pa.RecordBatch:
+                made = pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner, pa.int64())), pa.array(inner, pa.string()), pa.array(outer, pa.string())], names=["doc_id", "term", "container"])
+                for held in (owner, inner, outer):
+                    held.clear()
+                return made
+
             for row, grams in enumerate(batch.column(1).to_pylist()):
                 terms = list(dict.fromkeys(grams or ()))
-                inner, outer = [], []
                 for i, found in enumerate(contained(terms)):
                     inner += [terms[j] for j in found]
                     outer += [terms[i]] * len(found)
-                if inner:
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pa.array([row] * len(inner), pa.int64())), pa.array(inner, pa.string()), pa.array(outer, pa.string())],
-                        names=["doc_id", "term", "container"],
-                    )
+                    owner += [row] * len(found)
+                    if len(inner) >= PAIRS:
+                        yield out()
+            yield out()
 
     return _grams(corpus, n, mode).mapInArrow(pairs, f"doc_id {kind}, term string, container string")
 

@@ -11,8 +11,9 @@ from pyspark.ml.feature import HashingTF
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from termloom.functions.files import read_part
 from termloom.functions.text import once, sentences
-from termloom.session import written
+from termloom.session import shared_path, written
 from termloom.sources.corpus import tokens
 
 try:
@@ -82,35 +83,39 @@ def decode_terms(tagged: DataFrame) -> DataFrame:
 def assign_terms(corpus: DataFrame, terms: DataFrame, block: int = TERMS_PER_BLOCK) -> DataFrame:
     """``doc_id, term`` wherever the lower-cased text of a document holds the lower-cased term.
 
-    The distinct terms are the query set: they go to the tasks in blocks of at most ``block``, each
-    searched for in one pass over the texts. Null texts and null or empty terms match nothing.
+    The distinct terms are the query set: they lie in the shared folder in blocks of about ``block``
+    terms, and the tasks take one block after the other in a pass over the texts, so neither the
+    driver nor a broadcast holds them. Null texts and null or empty terms match nothing.
     """
     spark = corpus.sparkSession
     kind = corpus.schema["doc_id"].dataType.simpleString()
-    wanted = terms.where("term is not null and term <> ''").select(F.lower("term").alias("term")).distinct()
-    numbered = wanted.withColumn("block", F.pmod(F.xxhash64("term"), F.lit(max(1, -(-wanted.count() // block)))))
-    found = None
-    for number in sorted(r["block"] for r in numbered.select("block").distinct().collect()):
-        shared = spark.sparkContext.broadcast([r["term"] for r in numbered.where(F.col("block") == number).select("term").collect()])
-
-        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+    wanted = written(terms.where("term is not null and term <> ''").select(F.lower("term").alias("term")).distinct(), "terms")
+    blocks = -(-wanted.count() // block)
+    folder = shared_path(spark, "term-blocks")
+    if blocks:
+        wanted.withColumn("block", F.pmod(F.xxhash64("term"), F.lit(blocks))).repartition("block").write.partitionBy("block").parquet(folder)
+    found = spark.createDataFrame([], f"doc_id {kind}, term string")
+    texts = corpus.where(F.col("text").isNotNull()).select("doc_id", F.lower("text").alias("text"))
+    for number in range(blocks):
+
+        def search(batches: Iterator[pa.RecordBatch], number=number) -> Iterator[pa.RecordBatch]:
+            own = [r["term"] for r in read_part(f"{folder}/block={number}")]
             automaton = None
-            if ahocorasick is not None:
+            if ahocorasick is not None and own:
                 automaton = ahocorasick.Automaton()
-                for t in shared.value:
+                for t in own:
                     automaton.add_word(t, t)
                 automaton.make_automaton()
             for batch in batches:
                 owner, names = [], []
                 for row, text in enumerate(batch.column(1).to_pylist()):
-                    hits = {t for _, t in automaton.iter(text)} if automaton is not None else {t for t in shared.value if t in text}
+                    hits = {t for _, t in automaton.iter(text)} if automaton is not None else {t for t in own if t in text}
                     owner += [row] * len(hits)
                     names += hits
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner, pa.int64())), pa.array(names, pa.string())], names=["doc_id", "term"])
 
-        part = corpus.where(F.col("text").isNotNull()).select("doc_id", F.lower("text").alias("text")).mapInArrow(search, f"doc_id {kind}, term string")
-        found = part if found is None else found.unionByName(part)
-    return found if found is not None else spark.createDataFrame([], f"doc_id {kind}, term string")
+        found = found.unionByName(texts.mapInArrow(search, f"doc_id {kind}, term string"))
+    return found
 
 
 def align_tags(word_ids: list[int | None], tags: list[str], names: tuple[str, ...] = (OUTSIDE, BEGIN, INSIDE)) -> list[int]:
@@ -143,7 +148,7 @@ class RegressionTagger:
 
     TAGS = (OUTSIDE, BEGIN, INSIDE)
 
-    def __init__(self, epochs: int = 30, features: int = 1 << 18, regularization: float = 1e-5) -> None:
+    def __init__(self, epochs: int = 15, features: int = 1 << 15, regularization: float = 1e-5) -> None:
         self.epochs, self.features, self.regularization = epochs, features, regularization
         self.model: LogisticRegressionModel | None = None
 
@@ -242,7 +247,7 @@ def predict_tags(sents: DataFrame, tagger: Tagger) -> DataFrame:
 class TaggedTerms:
     """Terms by a token classifier: fitted on the tags that a label table gives one corpus, applied to any."""
 
-    def __init__(self, n: int = 6, tagger: Tagger | None = None, epochs: int = 30) -> None:
+    def __init__(self, n: int = 6, tagger: Tagger | None = None, epochs: int = 15) -> None:
         self.n, self.tagger, self.is_trained = n, tagger or RegressionTagger(epochs), False
 
     def fit(self, corpus: DataFrame, labels: DataFrame, mode: str = "text") -> TaggedTerms:
@@ -268,6 +273,6 @@ class TaggedTerms:
         return self
 
 
-def tagged_terms(corpus: DataFrame, labels: DataFrame, n: int = 6, tagger: Tagger | None = None, mode: str = "text", epochs: int = 30) -> DataFrame:
+def tagged_terms(corpus: DataFrame, labels: DataFrame, n: int = 6, tagger: Tagger | None = None, mode: str = "text", epochs: int = 15) -> DataFrame:
     """``doc_id, term, score``: tag by the labels, fit, predict, decode, and give each document the terms its text holds; score 1."""
     return TaggedTerms(n, tagger, epochs).fit(corpus, labels, mode).predict(corpus, mode)

@@ -111,6 +111,12 @@ def _rounded(value: str, digits: int = 6) -> str:
     return f"round({value}, {digits}) + 0.0"
 
 
+OFFSETS = f""",
+        kept as (select doc_id, term from counts join stat using (term), n where cnt / n_ngrams * {IDF} >= 0.1),
+        one as (select doc_id, unnest(w) as term, unnest(s) as x from tok),
+        two as (select doc_id, unnest(list_transform(range(1, len(w)), lambda i: {{'term': w[i] || ' ' || w[i + 1], 'start': s[i]."start", 'end': s[i + 1]."end"}})) as x from tok),
+        occ as (select doc_id, term, x."start" as start, x."end" as "end" from one union all select doc_id, x.term, x."start", x."end" from two)"""
+
 SQL: dict[str, str] = {
     "tokenize": f"with {FORCE}, {TOKENS} select doc_id, unnest(range(len(w)))::int as pos, unnest(w) as token from tok",
     "span_tokenize": f"with {FORCE}, {SPANS} select doc_id, unnest(range(len(w)))::int as pos, unnest(w) as token from tok",
@@ -136,12 +142,12 @@ SQL: dict[str, str] = {
     "tfidf": BASE + f" select doc_id, term, {_rounded(f'cnt / n_ngrams * {IDF}')} as score from counts join stat using (term), n",
     "tfidf_threshold": BASE + f" select doc_id, term, {_rounded(f'cnt / n_ngrams * {IDF}')} as score from counts join stat using (term), n where cnt / n_ngrams * {IDF} >= 0.1",
     "tfidf_span": SPAN_BASE + f" select doc_id, term, {_rounded(f'cnt / n_ngrams * {IDF}')} as score from counts join stat using (term), n",
-    "tfidf_offsets_semi": SPAN_BASE + f""",
-        kept as (select doc_id, term from counts join stat using (term), n where cnt / n_ngrams * {IDF} >= 0.1),
-        one as (select doc_id, unnest(w) as term, unnest(s) as x from tok),
-        two as (select doc_id, unnest(list_transform(range(1, len(w)), lambda i: {{'term': w[i] || ' ' || w[i + 1], 'start': s[i]."start", 'end': s[i + 1]."end"}})) as x from tok),
-        occ as (select doc_id, term, x."start" as start, x."end" as "end" from one union all select doc_id, x.term, x."start", x."end" from two)
-        select doc_id, term, start, "end" from occ semi join kept using (doc_id, term)""",
+    "tfidf_nested": BASE + f""",
+        kept as (select doc_id, term, {_rounded(f'cnt / n_ngrams * {IDF}')} as score from counts join stat using (term), n where cnt / n_ngrams * {IDF} >= 0.1)
+        select t.doc_id, case when term is not null then (row_number() over (partition by t.doc_id order by score desc, term) - 1)::int end as pos, term, score from t left join kept using (doc_id)""",
+    "tfidf_layer": SPAN_BASE + f"""{OFFSETS}, hit as (select doc_id, term, start, "end" from occ semi join kept using (doc_id, term))
+        select sp.doc_id, case when term is not null then (row_number() over (partition by sp.doc_id order by start, "end", term) - 1)::int end as pos, term, start, "end" from sp left join hit using (doc_id)""",
+    "tfidf_offsets_semi": SPAN_BASE + f"""{OFFSETS} select doc_id, term, start, "end" from occ semi join kept using (doc_id, term)""",
     "ridf": BASE + f" select doc_id, term, {_rounded(f'cnt / n_ngrams * {RIDF}')} as score from counts join stat using (term), n",
     "ridf_span": SPAN_BASE + f" select doc_id, term, {_rounded(f'cnt / n_ngrams * {RIDF}')} as score from counts join stat using (term), n",
     "weirdness_ntf": BASE + f", {ALL_TERMS}, {REFERENCE} select doc_id, term, {_rounded('(cf / n_all) / greatest(coalesce(ref_cf / ref_all, 1e-9), 1e-9)', 3)} as score from counts join stat using (term) left join rstat using (term), alls, rall",
@@ -185,7 +191,7 @@ SQL: dict[str, str] = {
     "sentence_split": f"with {FORCE}, {SENTENCES} select doc_id, sent_no, sentence from sent",
     "sentence_groups_span": f"""with {FORCE}, {SPANS}, e as (select doc_id, unnest(range(len(w))) as pos, unnest(w) as token from tok),
         g as (select *, coalesce(sum((token in ('.', '!', '?'))::int) over (partition by doc_id order by pos rows between unbounded preceding and 1 preceding), 0) as sent_no from e)
-        select doc_id, sent_no::int as sent_no, count(*)::int as n_tokens from g group by all""",
+        select doc_id, sent_no::int as sent_no, count(*)::int as n_tokens, string_agg(token, ' ' order by pos) as sentence from g group by doc_id, sent_no""",
     "find_sublist": f"""with {FORCE}, {SENTENCES}, a as (select doc_id, sent_no, w, w[1:2] as sub, unnest(range(len(w))) as i from stok)
         select doc_id, sent_no, i::int as first, (i + len(sub) - 1)::int as last from a where w[i + 1 : i + len(sub)] = sub""",
     "bio_tags": f"with {FORCE}, {SENTENCES}, {TAGS} select doc_id, sent_no, pos, token, tag from tagged",

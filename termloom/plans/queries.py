@@ -135,8 +135,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "tfidf_threshold": _scorer(lambda s, d: scorers.tfidf(texts(s, d), N, 0.1)),
     "tfidf_span": _scorer(lambda s, d: scorers.tfidf(spans(s, d), N)),
     "tfidf_offsets_semi": lambda s, d: _tfidf_result(s, d).offsets(),
-    "tfidf_nested": lambda s, d: Extraction(texts(s, d), rounded(scorers.tfidf(texts(s, d), N, 0.1)), N).nested(),
-    "tfidf_layer": lambda s, d: _tfidf_result(s, d).with_layer().select("doc_id", "terms"),
+    "tfidf_nested": lambda s, d: Extraction(texts(s, d), rounded(scorers.tfidf(texts(s, d), N, 0.1)), N).nested().select("doc_id", F.posexplode_outer("terms").alias("pos", "t")).select("doc_id", "pos", "t.term", "t.score"),
+    "tfidf_layer": lambda s, d: _tfidf_result(s, d).with_layer().select("doc_id", F.posexplode_outer("terms").alias("pos", "t")).select("doc_id", "pos", "t.term", "t.start", "t.end"),
     "ridf": _scorer(lambda s, d: scorers.ridf(texts(s, d), N)),
     "ridf_span": _scorer(lambda s, d: scorers.ridf(spans(s, d), N)),
     "weirdness_ntf": _scorer(lambda s, d: scorers.weirdness(texts(s, d), reference(s, d), N), 3),
@@ -171,7 +171,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "greek_latin_flag": lambda s, d: _terms(s, d).select("term", supervised.greek_latin(F.col("term")).alias("greek_latin")),
     "roger_features": _scorer(lambda s, d: supervised.ranking_features(_terms(s, d)).select("term", *supervised.FEATURES), 9),
     "sentence_split": lambda s, d: tagging.text_sentences(texts(s, d)).select("doc_id", "sent_no", "sentence"),
-    "sentence_groups_span": lambda s, d: tagging.span_sentences(spans(s, d)).select("doc_id", "sent_no", F.size("tokens").alias("n_tokens")),
+    "sentence_groups_span": lambda s, d: tagging.span_sentences(spans(s, d)).select("doc_id", "sent_no", F.size("tokens").alias("n_tokens"), "sentence"),
     "find_sublist": _sublists,
     "bio_tags": _tags,
     "bio_decode": lambda s, d: tagging.decode_terms(_tags(s, d)),

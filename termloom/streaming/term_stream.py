@@ -17,8 +17,10 @@ def stream_term_stats(documents: DataFrame, time: str, n: int = 1, window: str =
     """
     timed = documents.where(F.col(time).isNotNull()).withWatermark(time, watermark)
     grams = timed.select(F.col(time), once(words(F.col("text"))).alias("tokens")).select(F.col(time), once(ngrams("tokens", n)).alias("grams"))
-    first = F.expr("transform(grams, (g, i) -> struct(g as term, int(array_position(grams, g) = i + 1) as fresh))")
-    each = grams.select(F.col(time), F.explode(first).alias("t")).select(F.window(time, window).alias("w"), "t.term", "t.fresh")
+    # sorted, equal n-grams are neighbours: the first of each counts its document
+    ordered = grams.select(F.col(time), once(F.array_sort("grams")).alias("grams"))
+    first = F.expr("transform(grams, (g, i) -> struct(g as term, int(i = 0 or grams[i - 1] <> g) as fresh))")
+    each = ordered.select(F.col(time), F.explode(first).alias("t")).select(F.window(time, window).alias("w"), "t.term", "t.fresh")
     return each.groupBy("w", "term").agg(F.sum("fresh").cast("long").alias("df"), F.count(F.lit(1)).alias("cf")).select(F.col("w.start").alias("window_start"), "term", "df", "cf")
 
 

@@ -70,9 +70,9 @@ def test_nesting_scorers(corpus, n):
 
 def test_search_without_the_automaton(monkeypatch):
     terms = list(dict.fromkeys(grams(words("this is the island this is it"), 3)))
-    fast = nesting.contained(terms)
+    fast = list(nesting.contained(terms))
     monkeypatch.setattr(nesting, "ahocorasick", None)
-    assert nesting.contained(terms) == fast
+    assert list(nesting.contained(terms)) == fast
 
 
 def test_shares_and_bounds(corpus):
