@@ -50,17 +50,21 @@ def newest(rows: DataFrame, key: list[str], value: str, at: str) -> DataFrame:
     return timed.groupBy(*key, "_at").agg(F.max(value).alias(value)).groupBy(*key).agg(F.max_by(value, "_at").alias(value))
 
 
-def spread(rows: DataFrame, groups: list[str], by: str, shares: int = 4) -> DataFrame:
+#: Rows of a group that is never worth cutting.
+FEW = 10_000
+
+
+def spread(rows: DataFrame, groups: list[str], by: str, shares: int = 4, few: int = FEW) -> DataFrame:
     """``rows`` partitioned by group, with ``slices`` and ``slice``: large groups are cut by a hash of ``by``.
 
-    A group with more than 1 / (shares * shuffle partitions) of all rows gets as many slices as it
-    has such shares, so there are at most shares * partitions of these groups: that bounds what is
+    A group with more than 1 / (shares * shuffle partitions) of all rows, and more than ``few``, gets
+    as many slices as it has such shares, so there are at most shares * partitions of these groups: that bounds what is
     broadcast, whatever the data.
     """
     spark = rows.sparkSession
     parts = shares * int(spark.conf.get("spark.sql.shuffle.partitions"))
     counts = written(rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n")), "group-sizes")
     total = counts.agg(F.sum("_n").alias("_total"))
-    large = counts.crossJoin(F.broadcast(total)).where(F.col("_n") * parts > F.col("_total")).select(*groups, F.ceil(F.col("_n") * parts / F.col("_total")).cast("int").alias("slices"))
+    large = counts.crossJoin(F.broadcast(total)).where((F.col("_n") * parts > F.col("_total")) & (F.col("_n") > few)).select(*groups, F.ceil(F.col("_n") * parts / F.col("_total")).cast("int").alias("slices"))
     cut = rows.join(F.broadcast(large), groups, "left").withColumn("slices", F.coalesce("slices", F.lit(1)))
     return cut.withColumn("slice", F.pmod(F.xxhash64(by), F.col("slices")).cast("int")).repartition(*groups, "slice")
