@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from termloom.llm.distinctive import distinctive_terms, outstanding_terms
@@ -29,6 +29,16 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1_pieces(spark, sf_dir).where("piece_no = 1").select("doc_id")
 
 
+def p1_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts that the pieces give back, and whether every piece keeps the limit and the overlap."""
+    before = F.lag("end_pos").over(Window.partitionBy("doc_id").orderBy("piece_no"))
+    pieces = p1_pieces(spark, sf_dir).withColumn("overlap", F.coalesce(before - F.col("start_pos"), F.lit(0)))
+    kept = F.length("piece").between(1, 3000) & F.col("overlap").between(0, 200)
+    own = F.expr("substring(piece, overlap + 1)")
+    whole = pieces.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("piece_no", own.alias("own")))).alias("parts"), F.bool_and(kept).alias("kept"))
+    return whole.select("doc_id", F.array_join("parts.own", "").alias("text"), "kept")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_n_per_group(table(spark, sf_dir, "terms"), ["scorer", "doc_id"], "term", "score", 5, "extracted_at").select("doc_id", "scorer", "term")
 
@@ -89,6 +99,12 @@ def p7_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank_terms(table(spark, sf_dir, "terms"), "extracted_at").where("record_scorers >= 2").select("doc_id", "term", "place")
 
 
+def p7_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms of each ordered record, and whether the places are 1 to that number."""
+    order = p7_order(spark, sf_dir).groupBy("doc_id").agg(F.count_distinct("term").alias("n_terms"), F.count_distinct("place").alias("places"), F.min("place").alias("first"), F.max("place").alias("last"))
+    return order.select("doc_id", "n_terms", ((F.col("places") == F.col("n_terms")) & (F.col("first") == 1) & (F.col("last") == F.col("n_terms"))).alias("counted"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(table(spark, sf_dir, "documents"))
 
@@ -117,6 +133,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
         "p1_pieces": p1_pieces,
+        "p1_joined": p1_joined,
         "p2_found": p2_found,
         "p3_found": p3_found,
         "p3_terms": p3_terms,
@@ -127,6 +144,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p6_frequencies": p6_frequencies,
         "p7_found": p7_found,
         "p7_order": p7_order,
+        "p7_places": p7_places,
         "p8_ids": p8_ids,
         "p9_selection": p9_selection,
         "p9_shares": p9_shares,
@@ -183,6 +201,7 @@ SCORES_IN_FORCE = """
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": f"with forced as ({RECORDS_IN_FORCE}) select doc_id from forced where length(text) > 3000",
+        "p1_joined": f"with forced as ({RECORDS_IN_FORCE}) select doc_id, text, true as kept from forced where length(text) > 3000",
         "p2_found": f"""
             with forced as ({SCORES_IN_FORCE})
             select doc_id, scorer, term from forced where score is not null and not isnan(score)
@@ -213,6 +232,9 @@ def oracle_sql() -> dict[str, str]:
                       from s a join s b on a.doc_id = b.doc_id and a.scorer = b.scorer and a.term <> b.term group by all),
             won as (select doc_id, term, count(*) as n from pairs where lead > 0 group by all)
             select doc_id, term from won join r using (doc_id) where n = k - 1""",
+        "p7_places": f"""
+            with forced as ({SCORES_IN_FORCE}) select doc_id, count(distinct term) as n_terms, true as counted from forced
+            where score is not null and not isnan(score) group by doc_id having count(distinct scorer) >= 2""",
         "p10_found": REPETITION + " select doc_id from shares where n_chars > 0 and repeated_chars >= 0.3 * n_chars",
         "p10_shares": REPETITION + " select doc_id, n_chars, repeated_chars, share from shares",
         "p10_lines": SHARED_LINES,

@@ -28,10 +28,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.functions.arrow_groups import key_codes, runs, whole_groups
+from termloom.functions.files import read_part
 from termloom.functions.running import running_sum
-from termloom.llm.files import read_part
 from termloom.session import shared_path, written
-from termloom.sources.tables import newest
+from termloom.sources.tables import FEW, newest
 
 DAMPING = 0.85
 #: The walk ends when the sum of all changes of a record's probabilities is at most STILL, or after MOST steps.
@@ -212,6 +212,8 @@ def _each(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
             yield chunk.slice(s, e - s)
 
 
+#: Rows of a block, where there are partitions enough.
+ENTRIES = 50_000
 STATE = "a int, p binary, weight binary, moved double"
 
 
@@ -299,7 +301,7 @@ class Exchange:
 
     def __init__(self, spark: SparkSession, rows: DataFrame, damping: float) -> None:
         self.spark, self.damping = spark, damping
-        self.parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // ENTRIES)))
         self.entries = written(_score_blocks(rows, self.parts), "walk-scores")
         # a row for each block
         heads = sorted(self.entries.where("body is not null").select("block", "pos", "higher", "opening", "first", "last").collect())
@@ -493,7 +495,7 @@ def _winners_of_blocks(placed: DataFrame) -> DataFrame:
         tried = spark.createDataFrame(left, f"doc_id string, tried array<{one}>")
 
 
-def rank_terms(scores: DataFrame, latest: str | None = None, shares: int = 4) -> DataFrame:
+def rank_terms(scores: DataFrame, latest: str | None = None, shares: int = 4, few: int = FEW) -> DataFrame:
     """One order of the terms of every record: ``doc_id, term, weight, place, scorers, record_scorers, record_terms, winner``.
 
     ``scores(doc_id, scorer, term, score)`` has one row per key, or, with ``latest``, counts by the
@@ -503,7 +505,7 @@ def rank_terms(scores: DataFrame, latest: str | None = None, shares: int = 4) ->
     is the number of scorers of the term, ``winner`` marks the term that beats each other term of
     its record under more scorers than it loses (at most one; a lone term is one). A record with
     one scorer is ordered by that scorer alone. An empty table gives no rows. Records with more
-    than 1 / (shares * shuffle partitions) of all rows are cut into blocks.
+    than 1 / (shares * shuffle partitions) of all rows, and more than ``few``, are cut into blocks.
     """
     spark = scores.sparkSession
     parts = shares * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -513,7 +515,7 @@ def rank_terms(scores: DataFrame, latest: str | None = None, shares: int = 4) ->
     sizes = written(raw.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "walk-sizes")
     total = sizes.agg(F.sum("n").alias("total"))
     # at most ``parts`` rows
-    large = sizes.crossJoin(F.broadcast(total)).where(F.col("n") * parts > F.col("total")).select("doc_id")
+    large = sizes.crossJoin(F.broadcast(total)).where((F.col("n") * parts > F.col("total")) & (F.col("n") > few)).select("doc_id")
 
     def settled(part: DataFrame) -> DataFrame:
         return _numeric(newest(part, key, "score", "at") if latest else part)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from termloom.functions.arrow_groups import key_codes, runs
-from termloom.llm.files import system
+from termloom.functions.files import system
 from termloom.session import shared_path, written
 from termloom.sources.tables import newest, spread
 

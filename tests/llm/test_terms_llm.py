@@ -406,7 +406,8 @@ def brute_walk(rows, damping=rank_walk.DAMPING, steps=60):
 
 
 @pytest.mark.parametrize("shares", [0.01, 1, 10**6])
-def test_rank_walk(spark, shares):
+def test_rank_walk(spark, shares, monkeypatch):
+    monkeypatch.setattr(rank_walk, "ENTRIES", 20)
     # shares: no record, some, or every record is cut into blocks
     rng = random.Random(10)
     rows = []
@@ -418,7 +419,7 @@ def test_rank_walk(spark, shares):
     dirt = [(None, "w", "t", 1.0), ("d0", None, "t", 1.0), ("d0", "w", None, 1.0), ("d0", "w", "q", None), ("d0", "w", "r", NAN)]
     df = spark.createDataFrame(rows + dirt, "doc_id string, scorer string, term string, score double").withColumn("weight", F.lit(1))
     got = defaultdict(dict)
-    for r in rank_terms(df, shares=shares).collect():
+    for r in rank_terms(df, shares=shares, few=0).collect():
         got[r["doc_id"]][r["term"]] = r
     for d in {r[0] for r in rows}:
         weight, winner = brute_walk([r for r in rows if r[0] == d])
@@ -434,7 +435,7 @@ def test_rank_walk_of_many_terms_keeps_different_weights_apart(spark, shares):
     n = 30_000
     scores = np.random.default_rng(11).permuted(np.tile(np.arange(n), (4, 1)), axis=1)
     df = spark.createDataFrame(pa.table({"doc_id": ["d"] * 4 * n, "scorer": np.repeat(list("wxyz"), n), "term": [f"t{i:05}" for i in range(n)] * 4, "score": scores.ravel().astype(float)}))
-    got = rank_terms(df, shares=shares).select("weight", "place").orderBy("place").toPandas()
+    got = rank_terms(df, shares=shares, few=0).select("weight", "place").orderBy("place").toPandas()
     weight = got["weight"].to_numpy()
     assert got["place"].tolist() == list(range(1, n + 1))
     assert len(np.unique(np.round(weight, rank_walk.DIGITS))) < len(np.unique(weight))
